@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.llm import chat_format
+from stemmata.llm import chat_format, decontaminate, license_scan, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,101 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.read_back(chat_format.format_conversations(turns)))
 
 
-QUERIES = {"op7_chat_formatting": op7_chat_formatting}
+#: The URL rules of the query.
+URL_RULES = [
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url, judged by the rules or else by the templates of its host."""
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words found in every document."""
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC bundles and read back."""
+    read = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and near-notices of every document."""
+    found = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["exact"])
+    labels = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    starts = F.transform(base, lambda p: p["first_word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: 1.0 - 0.05 * p["edits"])), F.lit(0.0)).cast("double").alias("score"),
+    )
+
+
+QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op5_decontamination": op5_decontamination,
+    "op6_warc": op6_warc,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op9_license_scan": op9_license_scan,
+}
 
 ORACLE = {
+    "op5_decontamination": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), bw as (
+  select distinct item_id, least(10, len(w)) as n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as win
+  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from b where len(w) > 0)
+), dw as (
+  select doc_id, i, s.n, array_to_string(w[i : i + s.n - 1], ' ') as win
+  from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d), (select distinct n from bw) s where i + s.n - 1 <= len(w)
+), hits as (
+  select dw.doc_id, dw.i, dw.n, bw.item_id from dw join bw on dw.n = bw.n and dw.win = bw.win
+), covered as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id
+), items as (
+  select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from hits) group by doc_id
+)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)
+""",
+    "op6_warc": r"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+k as (select html, min(page_id) as keeper from p group by html),
+h as (select page_id, keeper, octet_length(encode(html)) as n, sha1(html) as hex from p join k using (html)),
+bits as (select *, list_transform(range(0, 40), lambda i: strpos('0123456789abcdef', hex[i + 1]) - 1) as q from h)
+select page_id, cast(n as bigint) as payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + (((q[(5 * i) // 4 + 1] * 16 + coalesce(q[(5 * i) // 4 + 2], 0)) // cast(pow(2, 3 - (5 * i) % 4) as bigint)) % 32), 1)), '') as payload_digest,
+       case when page_id = keeper then 'response' else 'revisit' end as record_type,
+       case when page_id <> keeper then keeper end as refers_to
+from bits
+""",
     "op7_chat_formatting": r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

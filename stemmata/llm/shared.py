@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stemmata.session import ship
+
 #: Most bytes and rows of one Arrow batch that is handed to a Python worker.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 #: A side of a join with at most so many short rows (ids, hashes, counts) is broadcast.
@@ -41,7 +43,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds; texts are long, so rows alone are no bound."""
+    """Bound what one Arrow batch holds (texts are long, so rows alone are no bound), and let workers import this library."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
