@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.llm import chat_format, decontaminate, license_scan, url_filter, warc
+import public_tokenizers
+
+from stemmata.llm import chat_format, decontaminate, license_scan, minhash, packing, quality, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,25 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets are similar by 0.85 or more."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), n=3, num=85, den=100, size=48, least=30)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), path))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, learnt from labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), quality.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= quality.CUT, 1).otherwise(0))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words found in every document."""
     found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -78,13 +99,38 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_decontamination": op5_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
     "op6_warc": op6_warc,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_license_scan": op9_license_scan,
 }
 
 ORACLE = {
+    "op3_minhash_dedup": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, array_to_string(w[i : i + least(3, len(w)) - 1], ' ') as sh
+  from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) as i from d where len(w) > 0)
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), i as (
+  select x.doc_id as a, y.doc_id as b, count(*) as common from s x join s y on x.sh = y.sh and x.doc_id < y.doc_id group by 1, 2
+), links as (
+  select a, b from i join n p on p.doc_id = a join n q on q.doc_id = b where 100 * common >= 85 * (p.n + q.n - common)
+), edges as (
+  select a, b from links union all select b, a from links
+), reach as (
+  select doc_id, doc_id as other from documents
+  union
+  select r.doc_id, e.b from reach r join edges e on r.other = e.a
+)
+select doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(other) as component_id, doc_id = min(other) as kept
+from reach left join n using (doc_id) group by doc_id
+""",
     "op5_decontamination": r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
