@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from stemmata.llm import chat_format, decontaminate, license_scan, minhash, packing, quality, url_filter, warc
+from stemmata.llm import chat_format, decontaminate, license_scan, minhash, packing, quality, suffix_dedup, topk, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,19 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector with all others."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    vectors = _table(spark, sf_dir, "embeddings").filter(F.col("embedding").isNotNull() & finite)
+    whole = vectors.select("vec_id", F.transform("embedding", lambda x: F.floor(64 * x.cast("double"))).alias("z"))
+    return topk.top_k(whole, F.col("vec_id") % 20 == 0, k=20)
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without bytes under repeated 200-byte strings."""
+    return suffix_dedup.removal_report(_table(spark, sf_dir, "documents"), least=200).drop("spans")
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets are similar by 0.85 or more."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), n=3, num=85, den=100, size=48, least=30)
@@ -99,7 +112,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_exact_topk": op2_exact_topk,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_decontamination": op5_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
@@ -109,6 +124,18 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_exact_topk": r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as z from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.z) + 1), lambda i: q.z[i] * c.z[i])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+), r as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 20
+""",
     "op3_minhash_dedup": r"""
 with recursive d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
