@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -117,19 +118,44 @@ def _pass(held: Broadcast, last: bool):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids and spans (characters of the original text) per row of ``docs``."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def _slices(benchmark: DataFrame, window: int, slice_bytes: int) -> list[Broadcast]:
+    """The windows of every slice of the benchmark, with the items they stand in; one slice at least."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    slices = max(1, -(-size // slice_bytes))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.lit(None).cast("binary").alias("carried"))
+    slices, held = max(1, -(-size // slice_bytes)), []
     for k in range(slices):
         patterns: dict[bytes, set[str]] = {}
         for item, text in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k).toLocalIterator():
             for words in windows_of(bytes(text), window):
                 patterns.setdefault(words, set()).add(item)
-        last = k == slices - 1
-        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(patterns), last), _RESULT if last else "doc_id bigint, text binary, carried binary")
+        held.append(benchmark.sparkSession.sparkContext.broadcast(patterns))
+    return held
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """``docs`` with all their columns, without those in which any window stands."""
+    small_batches(docs.sparkSession)
+    for held in _slices(benchmark, window, slice_bytes):
+        docs = docs.filter(~_hit(held)(F.coalesce("text", F.lit("")).cast("binary")))
+    return docs
+
+
+def _hit(held: Broadcast):
+    @F.pandas_udf("boolean")
+    def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = automaton(held.value)
+        for texts in batches:
+            yield pd.Series([bool(scan(bytes(t), machine)[1]) for t in texts], dtype=bool)
+
+    return hit
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, item_ids and spans (characters of the original text) per row of ``docs``."""
+    small_batches(docs.sparkSession)
+    held = _slices(benchmark, window, slice_bytes)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.lit(None).cast("binary").alias("carried"))
+    for k, patterns in enumerate(held):
+        last = k == len(held) - 1
+        rows = rows.mapInArrow(_pass(patterns, last), _RESULT if last else "doc_id bigint, text binary, carried binary")
     return rows

@@ -201,3 +201,20 @@ def _agree(pairs: DataFrame, signs: DataFrame, size: int) -> DataFrame:
     with_b = with_a.join(signs.select(F.col("rep").alias("b"), F.col("sign").alias("sign_b")), "b")
     same = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.substring("sign_a", i * 4 + 1, F.lit(4)) == F.substring("sign_b", i * 4 + 1, F.lit(4)))
     return with_b.select("a", "b", F.size(same).alias("agree"))
+
+
+def one_per_group(docs: DataFrame, **parameters) -> DataFrame:
+    """``docs`` with all their columns, without those that :func:`near_duplicates` does not keep.
+
+    Of rows that repeat a kept doc_id one stays; rows with a null doc_id cannot be told apart and stay.
+    """
+    found = cut(near_duplicates(docs, **parameters).select("doc_id", "kept").filter("doc_id is not null"))
+    for ids, single in ((found.filter("not kept").select("doc_id").distinct(), False), (found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), True)):
+        ids = cut(ids.select(F.col("doc_id").alias("_id")))
+        n = ids.count()
+        if n:
+            ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+            here = docs["doc_id"].cast("long") == ids["_id"]
+            rest = docs.join(ids, here, "left_anti")
+            docs = rest.unionByName(docs.join(ids, here, "left_semi").dropDuplicates(["doc_id"])) if single else rest
+    return docs
