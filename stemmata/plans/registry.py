@@ -2,5 +2,24 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its name; ``sql`` is None where SQL cannot express it."""
+
+    def add(made: Callable) -> Callable:
+        QUERIES[made.__name__] = made
+        if sql:
+            ORACLE[made.__name__] = sql
+        return made
+
+    return add
+
+
+def load() -> None:
+    """Import the modules whose queries are registered."""
+    from stemmata.plans import text_reuse  # noqa: F401
