@@ -95,13 +95,13 @@ def merge(ranges: DataFrame, grid: DataFrame, key: list[str]) -> DataFrame:
     start = place.select("book", "chapter", F.col("before").alias("b1"))
     end = place.select("book", F.col("chapter").alias("end_chapter"), F.col("before").alias("b2"))
     lined = ranges.join(start, ["book", "chapter"]).join(end, ["book", "end_chapter"]).withColumn("first", F.col("b1") + F.col("verse")).withColumn("last", F.col("b2") + F.col("end_verse"))
-    from stemmata.operators.windows import merged_intervals
-
-    joined = merged_intervals(lined.select(*key, "book", "first", "last"), [*key, "book"])
-    back = place.select(F.col("book").alias("bk"), "chapter", "before", "last")
-    low = joined.join(back.select("bk", F.col("chapter").alias("chapter"), F.col("before").alias("lb"), F.col("last").alias("ll")), (F.col("book") == F.col("bk")) & (F.col("first") > F.col("lb")) & (F.col("first") <= F.col("lb") + F.col("ll"))).drop("bk")
-    both = low.join(back.select("bk", F.col("chapter").alias("end_chapter"), F.col("before").alias("hb"), F.col("last").alias("hl")), (F.col("book") == F.col("bk")) & (joined["last"] > F.col("hb")) & (joined["last"] <= F.col("hb") + F.col("hl")))
-    return both.select(*key, "book", "chapter", (F.col("first") - F.col("lb")).alias("verse"), "end_chapter", (joined["last"] - F.col("hb")).alias("end_verse"), F.col("n"))
+    order = Window.partitionBy(*key, "book").orderBy("first", "last")
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = lined.withColumn("new", F.coalesce((F.col("first") > before + 1).cast("int"), F.lit(0)))
+    numbered = marked.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = F.min(F.struct("first", "chapter", "verse")).alias("lo"), F.max(F.struct("last", "end_chapter", "end_verse")).alias("hi"), F.count("*").alias("n")
+    joined = numbered.groupBy(*key, "book", "part").agg(*ends)
+    return joined.select(*key, "book", F.col("lo.chapter"), F.col("lo.verse"), F.col("hi.end_chapter"), F.col("hi.end_verse"), "n")
 
 
 def unmappable(grid: DataFrame, pivot: DataFrame, mapped: DataFrame) -> DataFrame:
