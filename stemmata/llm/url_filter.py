@@ -68,14 +68,15 @@ def templates(urls: DataFrame, wide: int = 32, least_share: float = 0.2) -> Data
     counts = F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     known = urls.groupBy("host", "raw").agg(*counts).withColumn("template", F.array().cast("array<string>"))
     known = cut(known)
-    for level in range(DEPTH):
+    deepest = known.agg(F.coalesce(F.max(F.size("raw")), F.lit(0))).first()[0]
+    for level in range(deepest):
         seg = F.get("raw", F.lit(level))
         children = known.filter(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(F.sum("n").alias("n"))
         nodes = children.groupBy("host", "template").agg((F.count("*") > wide).alias("many"), (F.max("n") < least_share * F.sum("n")).alias("even"))
         generalised = nodes.filter("many and even").select("host", "template", F.lit(True).alias("any"))
         known = known.join(generalised, ["host", "template"], "left").withColumn(
             "template", F.when(seg.isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.when(F.col("any"), F.lit("*")).otherwise(seg)))))
-        known = known.drop("any")
+        known = cut(known.drop("any"))  # each level reads the one before twice, so its plan must not carry all of them
     return known
 
 
