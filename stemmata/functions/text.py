@@ -15,6 +15,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FOLD_VERSION = 1
 #: Code points whose canonical decomposition is one letter and marks are folded by rule, up to here.
@@ -71,7 +72,7 @@ def fold_text(text: str, language: str | None = None) -> str:
     return " ".join(bare.split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_any(texts: pd.Series) -> pd.Series:
     """:func:`fold_text` over Arrow batches, for scripts without precomposed letters."""
     return texts.map(lambda t: None if t is None else fold_text(t))
