@@ -83,7 +83,7 @@ class Best:
             own = active[a : a + _QUERIES_AT_ONCE]
             score = np.rint(self.queries[own] @ rows.T).astype(np.int64)
             rank = score * 4096 + (4095 - np.arange(len(ids)))
-            rank[ids[None, :] == self.ids[own][:, None]] = np.iinfo(np.int64).min
+            rank[ids[None, :] == self.ids[own][:, None]] = _LOWEST
             n = min(self.k, len(ids))
             top = np.argpartition(-rank, n - 1, axis=1)[:, :n] if n < len(ids) else np.broadcast_to(np.arange(n), rank.shape)
             got = np.take_along_axis(score, top, 1)
