@@ -110,8 +110,9 @@ def resolve_locally(matches: DataFrame, renderings: DataFrame, key: list[str], e
     ``renderings`` has key, source, priority and score.
     """
     order = Window.partitionBy(*key).orderBy("priority", "source")
-    tried = matches.select(*key).join(renderings, key).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= budget)
-    first = F.min(F.when(F.col("score") >= enough, F.struct("k", "source", "score"))).alias("first")
-    best = F.max(F.struct("score", (-F.col("k")).alias("k"), "source")).alias("best")
-    grouped = tried.groupBy(*key).agg(first, best)
-    return grouped.select(*key, F.coalesce("first.source", "best.source").alias("source"), F.coalesce("first.score", "best.score").alias("score"), F.col("first").isNotNull().alias("decisive"), F.least(F.coalesce("first.k", F.lit(budget)), F.lit(budget)).alias("charged"))
+    tried = matches.select(*key).join(renderings, key).withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= budget)
+    first = F.min(F.when(F.col("score") >= enough, F.struct("_place", "source", "score"))).alias("_first")
+    best = F.max(F.struct("score", (-F.col("_place")).alias("p"), "source")).alias("_best")
+    chosen = F.coalesce("_first.source", "_best.source").alias("source"), F.coalesce("_first.score", "_best.score").alias("score")
+    charged = F.coalesce("_first._place", F.lit(budget)).alias("charged")
+    return tried.groupBy(*key).agg(first, best).select(*key, *chosen, F.col("_first").isNotNull().alias("decisive"), charged)
