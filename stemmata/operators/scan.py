@@ -98,8 +98,9 @@ def search(queries: DataFrame, items: DataFrame, limit: int = 5, common: float =
     total, mean = held.agg(F.count("*"), F.avg(F.size("t"))).first()
     terms = retrieve.query_terms(queries, index.token_df(held, "item_id"), total, ["doc_id"], common=common)
     found = retrieve.bm25(terms, index.postings(held, "item_id"), total, mean, ["doc_id"], "item_id", 12)
-    both = found.join(queries.select("doc_id", "t"), "doc_id").join(held.select("item_id", F.col("t").alias("item")), "item_id")
-    scored = both.select("doc_id", "item_id", F.round(kernels.ratio_udf("t", "item"), 4).alias("similarity"), F.round(kernels.coverage_udf("t", "item"), 4).alias("coverage"))
+    asked = found.join(held.select("item_id", F.col("t").alias("item")), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    both = asked.join(queries.select("doc_id", "t"), "doc_id").select("doc_id", F.explode(kernels.scores_udf("t", "items")).alias("s"))
+    scored = both.select("doc_id", "s.item_id", F.round("s.similarity", 4).alias("similarity"), F.round("s.coverage", 4).alias("coverage"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("coverage"), F.desc("similarity"), "item_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 

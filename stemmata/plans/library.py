@@ -23,8 +23,7 @@ def scan_full(spark, sf):
 
 @query(None)
 def search_full(spark, sf):
-    asked = docs(spark, sf).filter(F.size("t") <= 60).select("doc_id", "t")
-    return scan.search(asked, items(spark, sf))
+    return scan.search(docs(spark, sf).select("doc_id", "t"), items(spark, sf))
 
 
 def _pairs(spark, sf):
