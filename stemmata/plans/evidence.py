@@ -138,7 +138,7 @@ def parsed_references(spark, sf):
 @query(None)
 def rendered_documents(spark, sf):
     ship(spark)
-    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", 1, 40), F.lit(" {{item "), (F.col("doc_id") % 50).cast("string"), F.lit("}} end")).alias("text"))
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" {{item "), (F.col("doc_id") % 50).cast("string"), F.lit("}} end")).alias("text"))
     passages = table(spark, sf, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("reference"), F.col("text").alias("body"), F.lit("bench").alias("label"))
     return render.render(rows, render.tags(rows), passages)
 

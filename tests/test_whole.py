@@ -46,3 +46,13 @@ def test_words_that_a_passage_lacks_move_no_block():
         a, b = [draw.choice("abcdefgh") for _ in range(draw.randint(1, 60))], [draw.choice("abcd") for _ in range(draw.randint(1, 12))]
         n = kernels.matched_words(a, b)
         assert (2.0 * n / (len(a) + len(b)), n / len(a)) == (kernels.ratio(a, b), kernels.coverage(a, b))
+
+
+def test_rendering_keeps_and_reads_whole_texts(spark, tables):
+    long = f"{FILLER} {{{{item 1}}}} {FILLER} {{{{nothing}}}} a {{ b"
+    sf = tables(documents=documents(long, None), benchmark=([(0, ITEM), (1, "body one")], BENCHMARK))
+    got = {r.doc_id: (r.rendered, r.missing) for r in entry.queries()["rendered_documents"](spark, sf).collect()}
+    assert got == {
+        0: (f"{FILLER} “body one” (item 1) {FILLER} *nothing — not found* a {{ b “{ITEM}” (item 0) end", 1),
+        1: (" “body one” (item 1) end", 0),
+    }
