@@ -6,8 +6,9 @@ looks like an identifier becomes ``*`` at once, and level by level a node's
 children become ``*`` together when there are so many that none matters.  Then
 branches of one parent whose counts of labelled urls cannot be told apart by a
 two-proportion test, and whose subtrees have the same shape, are merged.  A
-merged template is rejected when its smoothed share of bad labels is at least
-``reject``.  Labels are the rules' own verdicts, or a column ``bad`` (0, 1 or
+merged template is rejected when its smoothed share of bad among labelled urls
+is at least ``reject``, whatever share of its urls is labelled; a branch without
+labels is told apart from none.  Labels are the rules' own verdicts, or a column ``bad`` (0, 1 or
 null) of ``pages``.
 
 Everything is counted on (host, template) groups with partial aggregation, so a
@@ -80,23 +81,27 @@ def templates(urls: DataFrame, wide: int = 32, least_share: float = 0.2) -> Data
     return known
 
 
+def _apart(z: float) -> Column:
+    """Whether the share of bad among ``labelled`` is told apart from that of ``all_bad`` among ``all_labelled``; never without labels."""
+    share, of_all = F.try_divide("bad", "labelled"), F.try_divide("all_bad", "all_labelled")
+    error = F.sqrt(F.try_divide(of_all * (1 - of_all), "labelled"))
+    return F.coalesce(F.abs(share - of_all) > z * error + 1e-12, F.lit(False))
+
+
 def rejected(known: DataFrame, reject: float = 0.9, alpha: float = 1.0, beta: float = 1.0, z: float = 1.96) -> DataFrame:
     """Distinct (host, raw) under a template whose merged group is rejected, with the group's smoothed purity."""
     branch, parent = F.get("template", F.lit(0)), F.size("template")
     shape = F.concat_ws("/", F.transform("template", lambda s, i: F.when(i == 0, "?").otherwise(s)))
     kinds = cut(
         known.groupBy("host", F.coalesce(branch, F.lit("")).alias("branch"), shape.alias("shape"), parent.alias("depth"))
-        .agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        .agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     )
     # a branch joins the group of those whose bad share is not told apart from the pooled share of its shape
-    pooled = kinds.groupBy("host", "shape").agg(F.sum("bad").alias("all_bad"), F.sum("n").alias("all_n"))
-    share, of_all = F.col("bad") / F.col("n"), F.col("all_bad") / F.col("all_n")
-    error = F.sqrt(of_all * (1 - of_all) / F.col("n"))
-    own = F.when(F.abs(share - of_all) <= z * error + 1e-12, F.lit("*")).otherwise(F.col("branch"))
-    merged_kinds = kinds.join(pooled, ["host", "shape"]).withColumn("group", own)
-    scored = merged_kinds.groupBy("host", "shape", "group").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.sum("n").alias("n"))
+    pooled = kinds.groupBy("host", "shape").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
+    merged_kinds = kinds.join(pooled, ["host", "shape"]).withColumn("group", F.when(_apart(z), F.col("branch")).otherwise("*"))
+    scored = merged_kinds.groupBy("host", "shape", "group").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     purity = (F.col("bad") + alpha) / (F.col("labelled") + alpha + beta)
-    bad_groups = scored.filter((purity >= reject) & (F.col("labelled") * 2 >= F.col("n"))).select("host", "shape", "group", purity.alias("purity"))
+    bad_groups = scored.filter(purity >= reject).select("host", "shape", "group", purity.alias("purity"))
     bad_branches = merged_kinds.join(bad_groups, ["host", "shape", "group"]).select("host", "shape", "branch", "group", "purity")
     return known.withColumn("shape", shape).withColumn("branch", F.coalesce(branch, F.lit(""))).join(bad_branches, ["host", "shape", "branch"]).select("host", "raw", "template", "purity")
 

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from stemmata.functions import kernels
+from stemmata.llm import url_filter
 
 FILLER = " ".join(f"filler{k}" for k in range(100))
 ITEM = "seven grey herons waited beside the frozen mill until evening"
@@ -56,3 +57,20 @@ def test_rendering_keeps_and_reads_whole_texts(spark, tables):
         0: (f"{FILLER} “body one” (item 1) {FILLER} *nothing — not found* a {{ b “{ITEM}” (item 0) end", 1),
         1: (" “body one” (item 1) end", 0),
     }
+
+
+def verdicts(spark, rows):
+    """The urls that are blocked, of (url, bad) rows and no rules."""
+    pages = spark.createDataFrame([(k, u, b) for k, (u, b) in enumerate(rows)], "page_id long, url string, bad int")
+    return {rows[r.page_id][0] for r in url_filter.filter_urls(pages, []).collect() if r.verdict == "block"}
+
+
+def test_url_purity_counts_labelled_urls_only(spark):
+    # 40 of 100 urls are labelled, all bad; another branch is as pure with fewer labels, a third has none
+    sparse = [(f"http://h.test/spam/{k}", 1 if k < 40 else None) for k in range(100)]
+    thin = [(f"http://h.test/thin/{k}", 1 if k < 5 else None) for k in range(50)]
+    none = [(f"http://h.test/none/{k}", None) for k in range(20)]
+    assert verdicts(spark, sparse + thin + none) == {u for u, _ in sparse + thin + none}
+    good = [(f"http://h.test/good/{k}", 0) for k in range(200)]
+    assert verdicts(spark, sparse + good) == {u for u, _ in sparse}
+    assert verdicts(spark, none + [("http://h.test/one/1", 1)]) == set()
