@@ -3,9 +3,11 @@
 Rules are (verdict, "host/path prefix"); the longest that fits decides.  All
 other urls are judged by templates.  Paths are cut into segments; a segment that
 looks like an identifier becomes ``*`` at once, and level by level a node's
-children become ``*`` together when there are so many that none matters.  Then
-branches of one parent whose counts of labelled urls cannot be told apart by a
-two-proportion test, and whose subtrees have the same shape, are merged.  A
+children become ``*`` together when there are so many that none matters.  Then,
+from the deepest level up, branches of one node whose counts of labelled urls
+cannot be told apart by a two-proportion test, and whose subtrees have the same
+shape, are merged.  Paths are kept to their last segment; each level is one
+aggregated pass, so passes grow with the longest path.  A
 merged template is rejected when its smoothed share of bad among labelled urls
 is at least ``reject``, whatever share of its urls is labelled; a branch without
 labels is told apart from none.  Labels are the rules' own verdicts, or a column ``bad`` (0, 1 or
@@ -26,7 +28,6 @@ from pyspark.sql import functions as F
 
 from stemmata.llm.shared import BROADCAST_ROWS, cut
 
-DEPTH = 6
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Segments taken as identifiers: numbers with or without an ending, dates, long hexadecimal strings, uuids.
 _IDENTIFIER = r"^(\d[\d._-]*(\.[a-zA-Z]{1,5})?|[0-9a-fA-F]{8,}|[0-9a-fA-F-]{36})$"
@@ -55,9 +56,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 def _segments(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    named = F.transform(parts, lambda s: F.when(F.rlike(s, F.lit(_IDENTIFIER)), "*").otherwise(s))
-    deep = F.concat(F.slice(named, 1, DEPTH - 1), F.array(F.lit("**")))
-    return F.when(F.size(named) > DEPTH, deep).otherwise(named)
+    return F.transform(parts, lambda s: F.when(F.rlike(s, F.lit(_IDENTIFIER)), "*").otherwise(s))
 
 
 def templates(urls: DataFrame, wide: int = 32, least_share: float = 0.2) -> DataFrame:
@@ -88,22 +87,41 @@ def _apart(z: float) -> Column:
     return F.coalesce(F.abs(share - of_all) > z * error + 1e-12, F.lit(False))
 
 
+def merged(known: DataFrame, z: float = 1.96) -> DataFrame:
+    """host, template, labelled, bad and ``merged``: the template with the marks of merged branches, from the deepest level up.
+
+    Branches of a node are those that differ in one segment, deeper segments being
+    merged already.  Those that are not told apart from the pooled share of all of
+    them are marked ``/=``; the rest is pooled above and below that share, and who is
+    not told apart there is marked ``/+`` or ``/-`` (no segment holds a slash).
+    """
+    counts = F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
+    every = F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
+    kinds = cut(known.groupBy("host", "template").agg(*counts).withColumn("merged", F.col("template")))
+    deepest = kinds.agg(F.coalesce(F.max(F.size("merged")), F.lit(0))).first()[0]
+    for level in reversed(range(deepest)):
+        seg = F.get("merged", F.lit(level))
+        around = F.transform("merged", lambda s, i: F.when(i == level, F.lit("")).otherwise(s))  # noqa: B023
+        placed = kinds.withColumn("around", F.when(seg.isNotNull(), around)).withColumn("seg", seg)
+        branches = placed.filter("seg is not null").groupBy("host", "around", "seg").agg(*counts)
+        side = F.when(~_apart(z), "/=").when(F.col("bad") * F.col("all_labelled") > F.col("all_bad") * F.col("labelled"), "/+").otherwise("/-")
+        sided = branches.join(branches.groupBy("host", "around").agg(*every), ["host", "around"]).withColumn("side", side).drop("all_labelled", "all_bad")
+        pooled = sided.join(sided.groupBy("host", "around", "side").agg(*every), ["host", "around", "side"])
+        marks = pooled.select("host", "around", "seg", F.when((F.col("side") != "/=") & _apart(z), F.col("seg")).otherwise(F.col("side")).alias("mark"))
+        own = F.transform("merged", lambda s, i: F.when(i == level, F.col("mark")).otherwise(s))  # noqa: B023
+        kinds = placed.join(marks, ["host", "around", "seg"], "left").withColumn("merged", F.when(F.col("mark").isNull(), F.col("merged")).otherwise(own))
+        kinds = cut(kinds.select("host", "template", "labelled", "bad", "merged"))
+    return kinds
+
+
 def rejected(known: DataFrame, reject: float = 0.9, alpha: float = 1.0, beta: float = 1.0, z: float = 1.96) -> DataFrame:
     """Distinct (host, raw) under a template whose merged group is rejected, with the group's smoothed purity."""
-    branch, parent = F.get("template", F.lit(0)), F.size("template")
-    shape = F.concat_ws("/", F.transform("template", lambda s, i: F.when(i == 0, "?").otherwise(s)))
-    kinds = cut(
-        known.groupBy("host", F.coalesce(branch, F.lit("")).alias("branch"), shape.alias("shape"), parent.alias("depth"))
-        .agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    )
-    # a branch joins the group of those whose bad share is not told apart from the pooled share of its shape
-    pooled = kinds.groupBy("host", "shape").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
-    merged_kinds = kinds.join(pooled, ["host", "shape"]).withColumn("group", F.when(_apart(z), F.col("branch")).otherwise("*"))
-    scored = merged_kinds.groupBy("host", "shape", "group").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+    kinds = merged(known, z)
     purity = (F.col("bad") + alpha) / (F.col("labelled") + alpha + beta)
-    bad_groups = scored.filter(purity >= reject).select("host", "shape", "group", purity.alias("purity"))
-    bad_branches = merged_kinds.join(bad_groups, ["host", "shape", "group"]).select("host", "shape", "branch", "group", "purity")
-    return known.withColumn("shape", shape).withColumn("branch", F.coalesce(branch, F.lit(""))).join(bad_branches, ["host", "shape", "branch"]).select("host", "raw", "template", "purity")
+    scored = kinds.groupBy("host", "merged").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+    bad_groups = scored.filter(purity >= reject).select("host", "merged", purity.alias("purity"))
+    bad_templates = kinds.join(bad_groups, ["host", "merged"]).select("host", "template", "purity")
+    return known.join(bad_templates, ["host", "template"]).select("host", "raw", "template", "purity")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], reject: float = 0.9) -> DataFrame:

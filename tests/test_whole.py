@@ -74,3 +74,20 @@ def test_url_purity_counts_labelled_urls_only(spark):
     good = [(f"http://h.test/good/{k}", 0) for k in range(200)]
     assert verdicts(spark, sparse + good) == {u for u, _ in sparse}
     assert verdicts(spark, none + [("http://h.test/one/1", 1)]) == set()
+
+
+def test_url_branches_merge_below_the_first_level(spark):
+    rows = [(f"http://h.test/shop/c{c}/{k}", 1 if k < 5 else None) for c in range(20) for k in range(8)]
+    assert verdicts(spark, rows) == {u for u, _ in rows}
+    # among good siblings too, and those stay
+    good = [(f"http://h.test/shop/g{c}/{k}", 0) for c in range(10) for k in range(5)]
+    assert verdicts(spark, rows + good) == {u for u, _ in rows}
+    # equal shapes meet at a level above
+    nested = [(f"http://h.test/{a}/c{c}/{k}", 1) for a in ("shop", "sale") for c in range(2) for k in range(3)]
+    assert verdicts(spark, nested) == {u for u, _ in nested}
+
+
+def test_url_segments_are_kept_in_deep_paths(spark):
+    bad = [(f"http://h.test/a/b/c/d/e/f/spam/{k}", 1) for k in range(40)]
+    good = [(f"http://h.test/a/b/c/d/e/f/good/{k}", 0) for k in range(40)]
+    assert verdicts(spark, bad + good) == {u for u, _ in bad}
