@@ -62,7 +62,10 @@ def _checked(out: DataFrame, grid: DataFrame, unreliable: DataFrame | None) -> D
 
 def expand(ranges: DataFrame, grid: DataFrame, key: str) -> DataFrame:
     """Every verse of ranges (book, chapter, verse to end_chapter, end_verse), whole chapters between included."""
-    joined = ranges.join(grid.withColumnRenamed("chapter", "c"), "book").filter(F.col("c").between(F.col("chapter"), F.col("end_chapter")))
+    ends = grid.groupBy("book").agg(F.min("chapter").alias("_from"), F.max("chapter").alias("_to"))
+    own = ranges.join(F.broadcast(ends), "book").withColumn("_from", F.greatest("_from", "chapter").cast("long")).withColumn("_to", F.least("_to", "end_chapter").cast("long"))
+    spread = own.filter("chapter is not null and end_chapter is not null and _from <= _to").withColumn("c", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
+    joined = spread.join(grid.withColumnRenamed("chapter", "c"), ["book", "c"])
     low = F.when(F.col("c") == F.col("chapter"), F.col("verse")).otherwise(F.lit(1))
     high = F.when(F.col("c") == F.col("end_chapter"), F.least("end_verse", "last")).otherwise(F.col("last"))
     return joined.withColumn("lo", low).withColumn("hi", high).filter("lo <= hi").select(key, "book", F.col("c").alias("chapter"), F.explode(F.sequence("lo", "hi")).alias("verse"))

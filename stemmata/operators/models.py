@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORDERS, MIN_COUNT, PRUNED_FROM = 5, 2, 3
 PPMI_MIN, PPMI_SPAN, PPMI_DIMS = 10, 5, 200
@@ -82,6 +85,48 @@ def dense_cosine(left: Column, right: Column) -> Column:
     return dot(left, right) / F.sqrt(dot(left, left) * dot(right, right))
 
 
+def dense_topk(vectors: DataFrame, asked: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+    """query_id, vec_id, cosine and rank of the ``k`` nearest other vectors of each one asked (ties by id).
+
+    Both have vec_id and embedding.  Blocks of rows meet blocks of queries of the
+    same length in one product of matrices, and only a block's best leave it.  A
+    vector that is null, or all zeros, has no cosine.
+    """
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        held = rows.filter(F.col("embedding").isNotNull())
+        n = max(1, math.ceil(held.count() / block))
+        dealt = held.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("b"), F.struct("vec_id", "embedding").alias("v"))
+        return dealt.groupBy("dim", "b").agg(F.collect_list("v").alias("v")).select("dim", F.col("v.vec_id").alias(f"{name}_ids"), F.flatten("v.embedding").cast("array<double>").alias(name))
+
+    row = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("cosine", T.DoubleType())])
+
+    @F.pandas_udf(T.ArrayType(row))
+    def best(query_ids: pd.Series, queries: pd.Series, ids: pd.Series, held: pd.Series) -> pd.Series:
+        out = []
+        for a_ids, a, b_ids, b in zip(query_ids, queries, ids, held, strict=True):
+            a_ids, b_ids = np.asarray(a_ids, dtype="int64"), np.asarray(b_ids, dtype="int64")
+            a, b = np.asarray(a, dtype="float64").reshape(len(a_ids), -1), np.asarray(b, dtype="float64").reshape(len(b_ids), -1)
+            norms = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                near = np.floor(a @ b.T / norms * 1e4 + 0.5) / 1e4
+            found = []
+            for i, own in enumerate(near):
+                fit = np.flatnonzero((b_ids != a_ids[i]) & np.isfinite(own))
+                if len(fit) > k:  # all that reach the k-th best stay for the order by id
+                    fit = fit[own[fit] >= np.partition(own[fit], -k)[-k]]
+                fit = fit[np.lexsort((b_ids[fit], -own[fit]))][:k]
+                found += [{"query_id": int(a_ids[i]), "vec_id": int(b_ids[j]), "cosine": float(own[j])} for j in fit]
+            out.append(found)
+        return pd.Series(out)
+
+    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+    pairs = blocks(vectors, "held").join(F.broadcast(blocks(asked, "q")), "dim")
+    scored = pairs.select(F.explode(best("q_ids", "q", "held_ids", "held")).alias("s")).select("s.*")
+    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def evidence(windows: DataFrame, key: list[str], ours: DataFrame, theirs: DataFrame, order: int = 3) -> DataFrame:
     """Summed log2 rate ratio of the windows' grams under two models, over one shared floor.
 

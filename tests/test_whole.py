@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -91,3 +92,31 @@ def test_url_segments_are_kept_in_deep_paths(spark):
     bad = [(f"http://h.test/a/b/c/d/e/f/spam/{k}", 1) for k in range(40)]
     good = [(f"http://h.test/a/b/c/d/e/f/good/{k}", 0) for k in range(40)]
     assert verdicts(spark, bad + good) == {u for u, _ in bad}
+
+
+def test_cosine_asks_every_fiftieth_id(spark, tables):
+    draw = random.Random(5)
+    held = {k: [float(draw.randint(-3, 3)) for _ in range(4)] for k in range(30, 260)} | {300: [0.0] * 4, 301: None, 302: [1.0]}
+    sf = tables(embeddings=([(k, v, 0) for k, v in held.items()], "vec_id long, embedding array<float>, label int"))
+    cosine = lambda a, b: math.floor(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)) * 1e4 + 0.5) / 1e4
+    usable = {k: v for k, v in held.items() if v and len(v) == 4 and any(v)}
+    want = set()
+    for q in usable:
+        if q % 50 == 0:
+            near = sorted((-cosine(usable[q], v), k) for k, v in usable.items() if k != q)[:5]
+            want |= {(q, k, -c) for c, k in near}
+    assert len(want) == 5 * sum(q % 50 == 0 for q in usable) > 15
+    assert {(r.query_id, r.vec_id, r.cosine) for r in entry.queries()["cosine_topk_whole"](spark, sf).collect()} == want
+
+
+def test_every_chapter_is_expanded(spark, tables):
+    last = {k: 1 + k % 4 for k in range(1, 60) if k % 5}
+    rows = [(k, v) for k, n in last.items() for v in range(1, n + 1)]
+    sf = tables(lineitem=(rows, "l_orderkey long, l_linenumber int"))
+    want = set()
+    for k in last:
+        for c in (c for c in last if c % 7 == k % 7 and k <= c <= k + 7):
+            low, high = 2 if c == k else 1, min(3, last[c]) if c == k + 7 else last[c]
+            want |= {(k, c, v) for v in range(low, high + 1)}
+    got = [(r.id, r.chapter, r.verse) for r in entry.queries()["expand_ranges_whole"](spark, sf).collect()]
+    assert set(got) == want and len(got) == len(want)
