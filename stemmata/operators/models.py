@@ -79,6 +79,15 @@ def sparse_cosine(vectors: DataFrame, pairs: DataFrame, key: str = "a", dim: str
     return normed.join(dots, ["x", "y"], "left").select("x", "y", F.round(F.coalesce(F.col("dot") / (F.col("nx") * F.col("ny")), F.lit(0.0)), 4).alias("cosine"))
 
 
+def shared_cosines(vectors: DataFrame, key: str = "a", dim: str = "b", weight: str = "weight") -> DataFrame:
+    """Cosine of every pair x < y of sparse vectors in long form that share a dimension."""
+    side = lambda k, w: vectors.select(F.col(key).alias(k), F.col(dim).alias("d"), F.col(weight).alias(w))
+    dots = side("x", "wx").join(side("y", "wy"), "d").filter("x < y").groupBy("x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("dot"))
+    norms = vectors.groupBy(key).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("norm"))
+    normed = dots.join(norms.select(F.col(key).alias("x"), F.col("norm").alias("nx")), "x").join(norms.select(F.col(key).alias("y"), F.col("norm").alias("ny")), "y")
+    return normed.select("x", "y", F.round(F.col("dot") / (F.col("nx") * F.col("ny")), 4).alias("cosine"))
+
+
 def dense_cosine(left: Column, right: Column) -> Column:
     """Cosine of two array columns."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)

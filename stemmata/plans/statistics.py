@@ -57,8 +57,8 @@ m as (select a, sum(n) as m from b2 group by a), tt as (select sum(m) as total f
 sc as (select b2.a, b2.b, n, round(log2(n * total / (x.m * y.m)), 4) as weight from b2 join m x on x.a = b2.a join m y on y.a = b2.b, tt)"""
 
 
-def _ppmi(spark, sf):
-    rows = table(spark, sf, "documents").filter("lang = 'de'").select("doc_id", tokens(F.col("text")).alias("t"))
+def _ppmi(spark, sf, of="lang = 'de'"):
+    rows = table(spark, sf, "documents").filter(of).select("doc_id", tokens(F.col("text")).alias("t"))
     return models.ppmi(rows, "doc_id")
 
 
@@ -77,6 +77,12 @@ def ppmi_cosine(spark, sf):
     return models.sparse_cosine(held, pairs)
 
 
+@query(None)
+def ppmi_cosine_whole(spark, sf):
+    """Every pair of words of the whole model that share a dimension; the SQL of ``ppmi_cosine`` takes the first 30 words."""
+    return models.shared_cosines(_ppmi(spark, sf, "true"))
+
+
 REG = f"""{SWEEP.replace(' from documents', " from documents where lang = 'es'")}, mx as (select lang = 'es' as own, regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}]+') as t from documents where lang in ('es', 'en')),
 m3 as (select own, gram, count(*) as count from (select own, array_to_string(t[i : i + 2], ' ') as gram from (select *, unnest(range(1, len(t) - 1)) as i from mx where len(t) >= 3)) group by all), mt as (select own, sum(count) as tokens from m3 group by own),
 wg as (select doc_id, \"offset\", array_to_string(w[i : i + 2], ' ') as gram from (select doc_id, \"offset\", w, unnest(range(1, len(w) - 1)) as i from (select doc_id, \"offset\", t[\"offset\" + 1 : \"offset\" + 12] as w from o) where len(w) >= 3)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -120,3 +121,38 @@ def test_every_chapter_is_expanded(spark, tables):
             want |= {(k, c, v) for v in range(low, high + 1)}
     got = [(r.id, r.chapter, r.verse) for r in entry.queries()["expand_ranges_whole"](spark, sf).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def mixed(n, vocabulary, words=30):
+    """Documents of several languages over few words."""
+    draw = random.Random(n)
+    texts = [[draw.choice(vocabulary) for _ in range(words)] for _ in range(n)]
+    return texts, ([(k, " ".join(t), ("fr", "de", "en", "xx")[k % 4], f"src{k % 3}", 1) for k, t in enumerate(texts)], DOCUMENTS)
+
+
+def test_ppmi_is_of_all_documents_and_words(spark, tables):
+    from stemmata.plans import statistics
+
+    texts, made = mixed(40, [f"w{a}{b}" for a in "abcdefg" for b in "klmnop"])
+    sf = tables(documents=made)
+    held = {w for w, c in Counter(w for t in texts for w in t).items() if c >= 10}
+    n, margin = Counter(), Counter()
+    for t in texts:
+        for i, a in enumerate(t):
+            for b in t[i + 1 : i + 6]:
+                if a in held and b in held:
+                    n[a, b] += 1
+                    n[b, a] += 1
+    for (a, _), c in n.items():
+        margin[a] += c
+    total = sum(margin.values())
+    want = {(a, b): w for (a, b), c in n.items() if (w := round(math.log2(c * total / (margin[a] * margin[b])), 4)) > 0}
+    got = {(r.a, r.b): (r.n, r.weight) for r in statistics._ppmi(spark, sf, "true").collect()}
+    assert got == {g: (n[g], pytest.approx(w, abs=1e-4)) for g, w in want.items()}
+    vectors = defaultdict(dict)
+    for (a, b), (_, w) in got.items():
+        vectors[a][b] = w
+    norm = {a: math.sqrt(sum(w * w for w in v.values())) for a, v in vectors.items()}
+    cosines = {(x, y): pytest.approx(sum(vectors[x][d] * vectors[y][d] for d in both) / (norm[x] * norm[y]), abs=1e-4) for x in vectors for y in vectors if x < y and (both := set(vectors[x]) & set(vectors[y]))}
+    assert len(vectors) > 30 and len(cosines) > 435
+    assert {(r.x, r.y): r.cosine for r in entry.queries()["ppmi_cosine_whole"](spark, sf).collect()} == cosines
