@@ -18,8 +18,8 @@ c1 as (select author, ord, gram, count(*) as count from gr group by all), cnt as
 tot as (select author, ord, cast(sum(count) as bigint) as tokens from cnt group by all), pr as (select * from cnt where ord < 3 or count >= 2)"""
 
 
-def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").filter("lang = 'fr'").select("doc_id", "source", ngram_tokens(F.col("text")).alias("t"))
+def _model_rows(spark: SparkSession, sf: str, of: str = "lang = 'fr'") -> DataFrame:
+    return table(spark, sf, "documents").filter(of).select("doc_id", "source", ngram_tokens(F.col("text")).alias("t"))
 
 
 @query(f"with {NG} select author, cast(ord as int) as ord, gram, count from pr")
@@ -49,6 +49,39 @@ def peak_rate(spark, sf):
     return models.peak_rates(rows, "doc_id", rated).withColumn("peak", F.round("peak", 2))
 
 
+# The SQL above and below is of one language's documents; the queries named _whole take every document, and have no SQL.
+
+
+@query(None)
+def ngram_counts_whole(spark, sf):
+    return models.pruned(models.ngrams(_model_rows(spark, sf, "true"), "source"))
+
+
+@query(None)
+def ngram_totals_whole(spark, sf):
+    return models.totals(models.ngrams(_model_rows(spark, sf, "true"), "source"))
+
+
+@query(None)
+def ngram_rates_whole(spark, sf):
+    counts = models.ngrams(_model_rows(spark, sf, "true"), "source")
+    rated = models.rates(models.pruned(counts).filter("author = ''"), models.totals(counts))
+    return rated.withColumn("rate", F.floor("rate").cast("double"))
+
+
+@query(None)
+def peak_rate_whole(spark, sf):
+    rows = _model_rows(spark, sf, "true")
+    counts = models.ngrams(rows, "source")
+    rated = models.rates(models.pruned(counts).filter("author = ''"), models.totals(counts))
+    return models.peak_rates(rows, "doc_id", rated).withColumn("peak", F.round("peak", 2))
+
+
+@query(None)
+def ppmi_pairs_whole(spark, sf):
+    return _ppmi(spark, sf, "true")
+
+
 PP = f"""d as (select doc_id, regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}]+') as t from documents where lang = 'de'),
 w as (select unnest(t) as w, count(*) as c from d group by 1 having count(*) >= 10), p as (select doc_id, unnest(t) as a, unnest(range(0, len(t))) as i from d),
 ah as (select a, b, count(*) as n from (select p.a, unnest(d.t[p.i + 2 : p.i + 6]) as b from p join d using (doc_id)) group by all),

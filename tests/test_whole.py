@@ -130,9 +130,31 @@ def mixed(n, vocabulary, words=30):
     return texts, ([(k, " ".join(t), ("fr", "de", "en", "xx")[k % 4], f"src{k % 3}", 1) for k, t in enumerate(texts)], DOCUMENTS)
 
 
-def test_ppmi_is_of_all_documents_and_words(spark, tables):
-    from stemmata.plans import statistics
+def test_ngrams_are_of_all_documents(spark, tables):
+    texts, made = mixed(24, ["alba", "brio", "calx", "dune"])
+    sf = tables(documents=made)
+    counts = Counter()
+    for k, t in enumerate(texts):
+        for n in range(1, 6):
+            for i in range(len(t) - n + 1):
+                for author in (f"src{k % 3}", ""):
+                    counts[author, n, " ".join(t[i : i + n])] += 1
+    sums = Counter()
+    for (author, n, _), c in counts.items():
+        sums[author, n] += c
+    kept = {g: c for g, c in counts.items() if g[1] < 3 or c >= 2}
+    run = lambda name: entry.queries()[name](spark, sf).collect()
+    assert {(r.author, r.ord, r.gram): r["count"] for r in run("ngram_counts_whole")} == kept
+    assert {(r.author, r.ord): r.tokens for r in run("ngram_totals_whole")} == sums
+    assert {(r.ord, r.gram): r.rate for r in run("ngram_rates_whole")} == {(n, g): math.floor(round(c * 1e6 / sums["", n], 4)) for (a, n, g), c in kept.items() if a == ""}
+    peaks = {}
+    for k, t in enumerate(texts):
+        own = [kept["", n, g] * 1e6 / sums["", n] for n in (4, 5) for i in range(len(t) - n + 1) if ("", n, g := " ".join(t[i : i + n])) in kept]
+        peaks |= {k: pytest.approx(max(own), abs=0.01)} if own else {}
+    assert len(peaks) == 24 and {r.doc_id: r.peak for r in run("peak_rate_whole")} == peaks
 
+
+def test_ppmi_is_of_all_documents_and_words(spark, tables):
     texts, made = mixed(40, [f"w{a}{b}" for a in "abcdefg" for b in "klmnop"])
     sf = tables(documents=made)
     held = {w for w, c in Counter(w for t in texts for w in t).items() if c >= 10}
@@ -147,7 +169,7 @@ def test_ppmi_is_of_all_documents_and_words(spark, tables):
         margin[a] += c
     total = sum(margin.values())
     want = {(a, b): w for (a, b), c in n.items() if (w := round(math.log2(c * total / (margin[a] * margin[b])), 4)) > 0}
-    got = {(r.a, r.b): (r.n, r.weight) for r in statistics._ppmi(spark, sf, "true").collect()}
+    got = {(r.a, r.b): (r.n, r.weight) for r in entry.queries()["ppmi_pairs_whole"](spark, sf).collect()}
     assert got == {g: (n[g], pytest.approx(w, abs=1e-4)) for g, w in want.items()}
     vectors = defaultdict(dict)
     for (a, b), (_, w) in got.items():
