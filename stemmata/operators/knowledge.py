@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +58,63 @@ def allusions(gestures: DataFrame, candidates: DataFrame, weights: DataFrame, ke
     return near.withColumn("place", F.row_number().over(order)).filter("place = 1").select(key, "target", "bits", "quoted")
 
 
+def allusions_in_blocks(gestures: DataFrame, candidates: DataFrame, weights: DataFrame, key: str, tie: float = 2.0, block: int = 2048) -> DataFrame:
+    """:func:`allusions` for weights that leave no word out, so that nearly every gesture shares a word with every candidate.
+
+    Blocks of gestures meet blocks of candidates, whose postings are added up in
+    whole millionths of a bit; of a block only the best quoted and the best other
+    candidate leave it, as no other can win.
+    """
+
+    def blocks(rows: DataFrame, id_: str, name: str, *more: str) -> DataFrame:
+        texts = rows.distinct().groupBy(id_, *more).agg(F.collect_list("word").alias("words"))
+        n = max(1, math.ceil(rows.select(id_).distinct().count() / block))
+        held = texts.groupBy(F.pmod(F.xxhash64(id_), F.lit(n)).alias("b")).agg(F.collect_list(F.struct(F.col(id_).alias("id"), *more, "words")).alias("v"))
+        sizes, flat = F.transform("v.words", F.size), F.flatten("v.words")
+        return held.select(F.col("v.id").alias(f"{name}_ids"), sizes.alias(f"{name}_sizes"), flat.getField("token").alias(f"{name}_words"), *([flat.getField("worth").alias("worth")] if more else []), *[F.col(f"v.{m}").alias(m) for m in more])
+
+    found = "array<struct<id:long,target:long,bits:long,quoted:int>>"
+
+    def best(ids: pd.Series, sizes: pd.Series, words: pd.Series, targets: pd.Series, lengths: pd.Series, theirs: pd.Series, worths: pd.Series, quoted: pd.Series) -> pd.Series:
+        out = []
+        for g_ids, g_sizes, g_words, t_ids, t_sizes, t_words, worth_of, q in zip(ids, sizes, words, targets, lengths, theirs, worths, quoted, strict=True):
+            order = np.argsort(np.asarray(t_ids))  # of equal sums the smaller target comes first
+            places = np.repeat(np.argsort(order), np.asarray(t_sizes))
+            t_ids, q = np.asarray(t_ids)[order], np.asarray(q)[order]
+            postings: dict = {}
+            for place, w, worth in zip(places, t_words, worth_of, strict=True):
+                postings.setdefault(w, (int(worth), []))[1].append(place)
+            held = {w: (worth, np.asarray(at)) for w, (worth, at) in postings.items()}
+            sides = [np.flatnonzero(q == side) for side in (0, 1)]
+            row = []
+            for g, own in zip(g_ids, np.split(np.asarray(g_words), np.cumsum(g_sizes)[:-1]), strict=True):
+                sums, hit = np.zeros(len(t_ids), dtype="int64"), np.zeros(len(t_ids), dtype=bool)
+                for w in own:
+                    if w in held:
+                        worth, at = held[w]
+                        sums[at] += worth
+                        hit[at] = True
+                rounded = np.where(hit, (sums + 50) // 100, np.iinfo("int64").min)
+                for side, places in enumerate(sides):
+                    if len(places) and hit[top := places[np.argmax(rounded[places])]]:
+                        row.append({"id": int(g), "target": int(t_ids[top]), "bits": int(rounded[top]), "quoted": side})
+            out.append(row)
+        return pd.Series(out)
+
+    spark = gestures.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+    worth = weights.select("token", F.round(F.col("bits") * 1_000_000).cast("long").alias("worth"))
+    shown = gestures.select(key, F.struct("token").alias("word"))
+    held = candidates.join(worth, "token").select("target", "quoted", F.struct("token", "worth").alias("word"))
+    pairs = blocks(shown, key, "g").crossJoin(blocks(held, "target", "t", "quoted"))
+    tops = pairs.select(F.explode(F.pandas_udf(best, found)("g_ids", "g_sizes", "g_words", "t_ids", "t_sizes", "t_words", "worth", "quoted")).alias("s")).select("s.*")
+    near = tops.withColumn("top", F.max("bits").over(Window.partitionBy("id"))).filter(F.col("top") - F.col("bits") <= round(tie * 10_000))
+    order = Window.partitionBy("id").orderBy(F.desc("quoted"), F.desc("bits"), "target")
+    chosen = near.withColumn("place", F.row_number().over(order)).filter("place = 1")
+    return chosen.select(F.col("id").alias(key), "target", (F.col("bits") / 10_000).alias("bits"), "quoted")
+
+
 def parallel_edges(pairs: DataFrame, bits: dict[str, float], least_chain: int = CHAIN, least_bits: float = BITS) -> DataFrame:
     """Pairs (a, b) of texts ``ta`` and ``tb`` whose best chain has enough words and bits."""
     ship(pairs.sparkSession)

@@ -114,6 +114,18 @@ def allusions(spark, sf):
     return knowledge.allusions(gestures, candidates, weights, "conv_id")
 
 
+@query(None)
+def allusions_whole(spark, sf):
+    """Every shared word counts by its bits among the candidates of the table; the SQL of ``allusions`` keeps words of at most 5."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    gestures = rows.filter("turn = 0").select("conv_id", F.explode("t").alias("token"))
+    candidates = rows.filter("turn = 1").select(F.col("conv_id").alias("target"), F.explode("t").alias("token"), (F.col("conv_id") % 4 == 0).cast("int").alias("quoted")).distinct()
+    total = F.broadcast(candidates.agg(F.countDistinct("target").alias("total")))
+    counted = candidates.groupBy("token").agg(F.count("*").alias("n")).crossJoin(total)
+    weights = counted.select("token", F.round(F.greatest(F.lit(0.0), F.log2(F.col("total") / (F.col("n") + 1))), 6).alias("bits"))
+    return knowledge.allusions_in_blocks(gestures, candidates, weights, "conv_id")
+
+
 @query(None)
 def stoplist_cover(spark, sf):
     ship(spark)

@@ -178,3 +178,28 @@ def test_ppmi_is_of_all_documents_and_words(spark, tables):
     cosines = {(x, y): pytest.approx(sum(vectors[x][d] * vectors[y][d] for d in both) / (norm[x] * norm[y]), abs=1e-4) for x in vectors for y in vectors if x < y and (both := set(vectors[x]) & set(vectors[y]))}
     assert len(vectors) > 30 and len(cosines) > 435
     assert {(r.x, r.y): r.cosine for r in entry.queries()["ppmi_cosine_whole"](spark, sf).collect()} == cosines
+
+
+def test_allusions_weigh_all_words(spark, tables):
+    draw = random.Random(9)
+    words = [f"w{k}" for k in range(40)]
+    said = {c: [[draw.choice(words) for _ in range(6)] + ["all"] for _ in range(2)] for c in range(60)}
+    rows = [(c, t, "user", " ".join(x)) for c, turns in said.items() for t, x in enumerate(turns)]
+    sf = tables(conversations=(rows, "conv_id long, turn long, role string, text string"))
+    n = Counter(w for turns in said.values() for w in set(turns[1]))
+    bits = {w: round(max(0.0, math.log2(60 / (c + 1))), 6) for w, c in n.items()}
+    want = {}
+    for c, (own, _) in said.items():
+        sums = {t: sum(bits[w] for w in shared) for t, (_, other) in said.items() if (shared := set(own) & set(other))}
+        near = [t for t, s in sums.items() if max(sums.values()) - s <= 2.0]
+        t = min(near, key=lambda t: (t % 4 != 0, -round(sums[t], 4), t))
+        want[c] = (t, pytest.approx(sums[t], abs=1e-4), int(t % 4 == 0))
+    assert {r.conv_id: (r.target, r.bits, r.quoted) for r in entry.queries()["allusions_whole"](spark, sf).collect()} == want
+    from stemmata.operators import knowledge
+    from pyspark.sql import functions as F
+
+    long = spark.createDataFrame([(c, t, w) for c, turns in said.items() for t, x in enumerate(turns) for w in x], "conv_id long, turn int, token string")
+    gestures, candidates = long.filter("turn = 0").select("conv_id", "token"), long.filter("turn = 1").select(F.col("conv_id").alias("target"), "token", (F.col("conv_id") % 4 == 0).cast("int").alias("quoted"))
+    weights = spark.createDataFrame(list(bits.items()), "token string, bits double")
+    got = knowledge.allusions_in_blocks(gestures, candidates, weights, "conv_id", block=7)
+    assert {r.conv_id: (r.target, r.bits, r.quoted) for r in got.collect()} == want
