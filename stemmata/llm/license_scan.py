@@ -3,21 +3,27 @@
 Exact: places where a phrase's words stand consecutively.  Fuzzy: a notice that
 may be ``k`` edits away is split into ``k + 1`` pieces; by the pigeonhole
 principle one of them stands unchanged in every occurrence.  One Aho-Corasick
-pass finds the pieces, and the ``regex`` library's bounded-error matching
-verifies the window around each and says how many edits it took.  Both work on
-the normalised text (lower-case words, single spaces); spans are reported in
-words and in characters of the original.
+pass finds the pieces.  Each piece names the place where its notice would start,
+and the ``regex`` library's bounded-error matching verifies the window around
+that place by itself: it is hardly longer than the notice, so time is linear in
+the pieces found, and no match hides another in front of it.  Of verified places
+of one notice that overlap, that with the fewest edits stays, the first of equals.
+Both searches work on the normalised text (lower-case words, single spaces);
+spans are reported in words and in characters of the original.
 
 Defined cases: a null or empty text has no words and no places; every input row
-gives one row, repeated doc_ids included; an empty table gives no rows; notices
-that overlap are all reported; other columns are ignored.
+gives one row, repeated doc_ids included; a text of any length is read whole, in
+time linear in its length; an empty table gives no rows; places of different
+notices or phrases that overlap are all reported; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -82,26 +88,28 @@ class Finder:
         """(label, first, after, edits) of verified notices, the best of those that overlap under one notice."""
         if not self.notices:
             return []
-        windows: dict[int, list[list[int]]] = {}
+        wanted: set[tuple[int, int]] = set()
         for end, (size, places) in self.seeds.iter(normal):
-            for at, offset in places:
-                edits, n = self.notices[at][2:]
-                start = end + 1 - size - offset
-                windows.setdefault(at, []).append([max(0, start - edits - 1), min(len(normal), start + n + edits + 1)])
-        found = []
-        for at, spans in windows.items():
-            pattern, label, _, _ = self.notices[at]
-            spans.sort()
-            joined: list[list[int]] = []
-            for a, b in spans:
-                if joined and a <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], b)
-                else:
-                    joined.append([a, b])
-            for a, b in joined:
-                for m in pattern.finditer(normal, a, b, overlapped=False):
-                    found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-        return found
+            wanted.update((at, end + 1 - size - offset) for at, offset in places)
+        verified: dict[int, set[tuple[int, int, int]]] = {}
+        for at, start in wanted:
+            pattern, _, edits, n = self.notices[at]
+            m = pattern.search(normal, max(0, start - edits - 1), min(len(normal), start + n + edits + 1))
+            if m:
+                verified.setdefault(at, set()).add((sum(m.fuzzy_counts), m.start(), m.end()))
+        return [(self.notices[at][1], a, b, edits) for at, found in verified.items() for edits, a, b in best_apart(found)]
+
+
+def best_apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (edits, first, after) those that overlap none with fewer edits, nor an earlier one with as many."""
+    firsts: list[int] = []
+    kept: list[tuple[int, int, int]] = []
+    for edits, a, b in sorted(found):
+        k = bisect_right(firsts, a)
+        if (k == 0 or kept[k - 1][2] <= a) and (k == len(kept) or b <= kept[k][1]):
+            firsts.insert(k, a)
+            kept.insert(k, (edits, a, b))
+    return kept
 
 
 def _scan(phrases: dict, notices: dict):
@@ -116,12 +124,13 @@ def _scan(phrases: dict, notices: dict):
                 hits = [(label, a, b, -1) for label, a, b in finder.exact(normal)]
                 hits += finder.fuzzy(normal.decode("latin-1"))
                 counts.append(len(words))
-                spans = [(normal.count(b" ", 0, a) - 1, normal.count(b" ", 0, b)) for _, a, b, _ in hits]
-                own = char_spans(text, spans) if hits else []
+                gaps = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32) if hits else ()
+                ends = [(int(np.searchsorted(gaps, a)) - 1, int(np.searchsorted(gaps, b))) for _, a, b, _ in hits]
+                own = char_spans(text, ends) if hits else []
                 places.append(
                     [
                         {"label": label, "exact": e < 0, "edits": max(0, e), "first_word": a, "n_words": b - a} | c
-                        for (label, _, _, e), (a, b), c in zip(hits, spans, own, strict=True)
+                        for (label, _, _, e), (a, b), c in zip(hits, ends, own, strict=True)
                     ]
                 )
             yield pa.record_batch({"doc_id": batch.column(0), "n_words": pa.array(counts, pa.int64()), "places": pa.array(places, pa.list_(place))})
