@@ -2,25 +2,31 @@
 
 Benchmark items (questions and answers) are normalised to lower-case words and
 cut into windows of ``window`` consecutive words; an item with fewer words, but
-not none, is one window.  The automaton over all windows scans each normalised
-document once, and hits are mapped back to the document's own characters.
-
-The automaton is built from at most ``slice_bytes`` of benchmark text.  A larger
-benchmark is split by item into slices of that size, each with an automaton of
-its own, and the slices' passes are chained; so what is broadcast is bounded and
-no item is dropped.
+not none, is one window.  Words of the benchmark are numbered and written as one
+character each, so a window is a string of at most ``window`` characters and the
+automaton has at most that many nodes for a word of the benchmark.  It scans the
+numbers of each document's words once (a word that the benchmark lacks is
+character 0), and hits are mapped back to the document's own characters.
+
+What is broadcast is the text of the benchmark, at most ``slice_bytes`` of it;
+every worker builds the automaton from it once, and keeps it for later tasks.  A
+larger benchmark is split by item into slices of that size, each with an
+automaton of its own, and the slices' passes are chained; so memory is bounded
+and no item is dropped.  An item that is longer than a slice is cut between windows.
 
 Defined cases: a null or empty text has no words and no hits; an item without
 words has no window; windows that several items share count for all of them;
 repeated items count once by id; a null item_id is written as the empty string;
+a text of any length is read whole, in time linear in its length and its hits;
 every input row gives one row, repeated doc_ids included; an empty benchmark
-hits nothing; other columns are ignored.
+hits nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -33,43 +39,69 @@ from pyspark.sql import functions as F
 
 from stemmata.llm.shared import alnum_words, small_batches
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _RESULT = "doc_id bigint, n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
 
 
-def windows_of(text: bytes, window: int) -> set[bytes]:
-    """The normalised windows of one item, words joined by single spaces."""
-    words = alnum_words(text)
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))}
-
-
-def automaton(patterns: dict[bytes, set[str]]) -> ahocorasick.Automaton:
-    """The automaton over windows; each knows its size in bytes and words, and the items it stands in."""
-    machine = ahocorasick.Automaton()
-    for words, items in patterns.items():
-        machine.add_word(f" {words.decode('latin-1')} ", (len(words) + 2, words.count(b" ") + 1, items))
-    if patterns:
-        machine.make_automaton()
-    return machine
-
-
-def scan(text: bytes, machine) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words, (first, last + 1) word spans of the windows found, and the items they belong to."""
-    words = alnum_words(text)
-    spans, items = [], set()
-    if words and len(machine):
-        normal = b" %b " % b" ".join(words)
-        found = list(machine.iter(normal.decode("latin-1")))
-        if found:
-            spaces = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
-            firsts = np.searchsorted(spaces, [end + 1 - size for end, (size, _, _) in found])
-            for first, (_, (_, n, of)) in zip(firsts.tolist(), found, strict=True):
-                spans.append((first, first + n))
-                items |= of
-    return len(words), spans, items
+class Machine:
+    """The automaton over the windows of some items, given as (item id, text)."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
+        self.letters: dict[bytes, str] = {}
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.sizes: list[int] = []  # words of each window, and the item or items it stands in
+        self.owners: list[str | set[str]] = []
+        for item, text in items:
+            words = alnum_words(text)
+            for w in words:
+                if w not in self.letters:
+                    n = len(self.letters) + 1
+                    self.letters[w] = chr(n if n < 0xD800 else n + 0x800)  # no surrogates
+            line = "".join(map(self.letters.__getitem__, words))
+            for i in range(max(1, len(line) - window + 1) if line else 0):
+                self._add(line[i : i + window], item)
+        self.full = bool(self.sizes)
+        if self.full:
+            self.trie.make_automaton()
+
+    def _add(self, line: str, item: str) -> None:
+        at = self.trie.get(line, -1)
+        if at < 0:
+            self.trie.add_word(line, len(self.sizes))
+            self.sizes.append(len(line))
+            self.owners.append(item)
+        elif isinstance(self.owners[at], set):
+            self.owners[at].add(item)
+        elif self.owners[at] != item:
+            self.owners[at] = {self.owners[at], item}
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Number of words, (first, last + 1) word spans of the windows found, and the items they belong to."""
+        words = alnum_words(text)
+        spans, items = [], set()
+        if words and self.full:
+            known = self.letters.get
+            for end, at in self.trie.iter("".join([known(w, "\0") for w in words])):
+                spans.append((end + 1 - self.sizes[at], end + 1))
+                own = self.owners[at]
+                if isinstance(own, set):
+                    items |= own
+                else:
+                    items.add(own)
+        return len(words), spans, items
+
+
+#: The machine that this Python worker built last, by the name of its slice.
+_held: dict[str, Machine] = {}
+
+
+def _machine(held: Broadcast) -> Machine:
+    name, window, items = held.value
+    if name not in _held:
+        _held.clear()
+        _held[name] = Machine(items, window)
+    return _held[name]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -92,12 +124,12 @@ def char_spans(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:
 
 def _pass(held: Broadcast, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(held.value)
+        machine = _machine(held)
         for batch in batches:
             ids, texts, carried = (batch.column(i).to_pylist() for i in range(3))
             rows = []
             for text, before in zip(texts, carried, strict=True):
-                n, spans, items = scan(text, machine)
+                n, spans, items = machine.scan(text)
                 if before:
                     old_spans, old_items = pickle.loads(before)
                     spans, items = spans + old_spans, items | old_items
@@ -118,18 +150,31 @@ def _pass(held: Broadcast, last: bool):
     return run
 
 
-def _slices(benchmark: DataFrame, window: int, slice_bytes: int) -> list[Broadcast]:
-    """The windows of every slice of the benchmark, with the items they stand in; one slice at least."""
+def _parts(text: bytes, window: int, slice_bytes: int) -> Iterator[bytes]:
+    """``text``, or if it is longer than a slice its normalised words in parts that hold all its windows."""
+    if len(text) <= slice_bytes:
+        yield text
+        return
+    words = alnum_words(text)
+    step = max(1, slice_bytes // 16)
+    for a in range(0, max(1, len(words) - window + 1), step):
+        yield b" ".join(words[a : a + step + window - 1])
+
+
+def _slices(benchmark: DataFrame, window: int, slice_bytes: int) -> Iterator[Broadcast]:
+    """Name, window and items of every slice of the benchmark, each broadcast; one slice at least."""
+    context = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    slices, held = max(1, -(-size // slice_bytes)), []
-    for k in range(slices):
-        patterns: dict[bytes, set[str]] = {}
-        for item, text in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k).toLocalIterator():
-            for words in windows_of(bytes(text), window):
-                patterns.setdefault(words, set()).add(item)
-        held.append(benchmark.sparkSession.sparkContext.broadcast(patterns))
-    return held
+    held, size, slices = [], 0, 0
+    for item, text in items.toLocalIterator():
+        for part in _parts(bytes(text), window, slice_bytes):
+            if held and size + len(part) > slice_bytes:
+                yield context.broadcast((uuid.uuid4().hex, window, held))
+                held, size, slices = [], 0, slices + 1
+            held.append((item, part))
+            size += len(part)
+    if held or not slices:
+        yield context.broadcast((uuid.uuid4().hex, window, held))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -143,9 +188,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10
 def _hit(held: Broadcast):
     @F.pandas_udf("boolean")
     def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = automaton(held.value)
+        machine = _machine(held)
         for texts in batches:
-            yield pd.Series([bool(scan(bytes(t), machine)[1]) for t in texts], dtype=bool)
+            yield pd.Series([bool(machine.scan(bytes(t))[1]) for t in texts], dtype=bool)
 
     return hit
 
@@ -153,7 +198,7 @@ def _hit(held: Broadcast):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids and spans (characters of the original text) per row of ``docs``."""
     small_batches(docs.sparkSession)
-    held = _slices(benchmark, window, slice_bytes)
+    held = list(_slices(benchmark, window, slice_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.lit(None).cast("binary").alias("carried"))
     for k, patterns in enumerate(held):
         last = k == len(held) - 1
