@@ -9,7 +9,10 @@ fetches one record by decompressing one frame.
 
 Records with equal payloads are written once: the smallest page_id holds it as a
 ``response``, others ``revisit`` it.  Digests are taken by Spark; only digests
-that occur twice or more are joined back.
+that occur twice or more are joined back.  While these are few they are
+broadcast.  Beyond that a bitmap of ``FILTER_BITS`` hashed places, of one size at
+any scale, tells pages whose digest surely occurs once: these are written where
+they stand, and only the others are shuffled by digest.
 
 Tasks write to names of their own in the shared folder and report them as rows;
 the rows are kept before they are used, so a task that runs again leaves at
@@ -33,12 +36,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemmata.llm.shared import BROADCAST_ROWS, cut, new_folder, small_batches
 
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
+#: Places of the bitmap, 2 ** 27: 16 MB.
+FILTER_BITS = 1 << 27
 #: Fixed values of the public seekable format: magic numbers of a skippable frame and of the seek table's footer.
 SKIPPABLE, INDEX, SEEK_FOOTER = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 _DATE = "1970-01-01T00:00:00Z"
@@ -193,10 +198,30 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     shared = rows.filter(F.length("html") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
     shared = cut(shared)
     if shared.count() <= BROADCAST_ROWS:
-        shared = F.broadcast(shared)
+        joined = rows.join(F.broadcast(shared), "sha1", "left")
+    else:
+        once, maybe = _sifted(rows, shared)
+        joined = once.withColumn("first", F.lit(None).cast("long")).unionByName(maybe.join(shared, "sha1", "left"))
     first = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    joined = rows.join(shared, "sha1", "left").select("page_id", "url", "html", "sha1", first.alias("refers"), (F.col("first").isNotNull() & first.isNotNull()).alias("revisit"))
-    return cut(joined.mapInArrow(_write(folder, frame_bytes, bundle_bytes), "bundle string, records bigint"))
+    out = joined.select("page_id", "url", "html", "sha1", first.alias("refers"), (F.col("first").isNotNull() & first.isNotNull()).alias("revisit"))
+    return cut(out.mapInArrow(_write(folder, frame_bytes, bundle_bytes), "bundle string, records bigint"))
+
+
+def _sifted(rows: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose digest is surely not in ``shared``, and the others, by a bitmap of fixed size."""
+    place = F.pmod(F.xxhash64("sha1"), F.lit(FILTER_BITS))
+    held = shared.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    held = F.broadcast(cut(held))
+    here = F.bitmap_bit_position(place)
+    byte = F.ascii(F.decode(F.substring("bits", (here / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+    tested = rows.join(held, F.bitmap_bucket_number(place) == F.col("bucket"), "left")
+    tested = tested.withColumn("maybe", F.coalesce(_bit(byte, here), F.lit(False))).drop("bucket", "bits")
+    return tested.filter(~F.col("maybe")).drop("maybe"), tested.filter("maybe").drop("maybe")
+
+
+def _bit(byte: Column, here: Column) -> Column:
+    """Whether the bit of place ``here`` is set in its byte."""
+    return F.floor(byte / F.pow(F.lit(2), here % 8)) % 2 == 1
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
