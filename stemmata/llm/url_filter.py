@@ -4,21 +4,22 @@ Rules are (verdict, "host/path prefix"); the longest that fits decides.  All
 other urls are judged by templates.  Paths are cut into segments; a segment that
 looks like an identifier becomes ``*`` at once, and level by level a node's
 children become ``*`` together when there are so many that none matters.  Then,
-from the deepest level up, branches of one node whose counts of labelled urls
-cannot be told apart by a two-proportion test, and whose subtrees have the same
-shape, are merged.  Paths are kept to their last segment; each level is one
-aggregated pass, so passes grow with the longest path.  A
-merged template is rejected when its smoothed share of bad among labelled urls
+from the deepest level up, branches of one node whose subtrees have the same
+shape are merged unless a two-proportion test tells a branch's share of bad among
+labelled urls from that of the branches beside it.  Paths are kept to their last
+segment; each level is one aggregated pass, so passes grow with the longest path.
+A merged template is rejected when its smoothed share of bad among labelled urls
 is at least ``reject``, whatever share of its urls is labelled; a branch without
-labels is told apart from none.  Labels are the rules' own verdicts, or a column ``bad`` (0, 1 or
-null) of ``pages``.
+labels is told apart from none.  Labels are the rules' own verdicts, or the
+expression ``label`` over ``pages`` (0 good, 1 bad, anything else unlabelled).
 
 Everything is counted on (host, template) groups with partial aggregation, so a
 host that holds a third of all urls is a few rows after the first shuffle.
 
 Defined cases: a null url or one without ``://`` has empty host and path and is
-judged by the method; the empty host fits no rule; repeated page_ids are judged
-row by row; an empty table gives no rows; other columns are ignored.
+judged by the method; the empty host fits no rule; null and repeated page_ids are
+judged row by row; urls of any length are read whole; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -81,19 +82,21 @@ def templates(urls: DataFrame, wide: int = 32, least_share: float = 0.2) -> Data
 
 
 def _apart(z: float) -> Column:
-    """Whether the share of bad among ``labelled`` is told apart from that of ``all_bad`` among ``all_labelled``; never without labels."""
-    share, of_all = F.try_divide("bad", "labelled"), F.try_divide("all_bad", "all_labelled")
-    error = F.sqrt(F.try_divide(of_all * (1 - of_all), "labelled"))
-    return F.coalesce(F.abs(share - of_all) > z * error + 1e-12, F.lit(False))
+    """Whether ``bad`` of ``labelled`` and the rest of ``all_bad`` of ``all_labelled`` differ by a two-proportion test; never without labels on both sides."""
+    rest = F.col("all_labelled") - F.col("labelled")
+    gap = F.abs(F.try_divide("bad", "labelled") - F.try_divide(F.col("all_bad") - F.col("bad"), rest))
+    pooled = F.try_divide("all_bad", "all_labelled")
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "labelled") + F.try_divide(F.lit(1), rest)))
+    return F.coalesce(gap > z * error + 1e-12, F.lit(False))
 
 
 def merged(known: DataFrame, z: float = 1.96) -> DataFrame:
     """host, template, labelled, bad and ``merged``: the template with the marks of merged branches, from the deepest level up.
 
     Branches of a node are those that differ in one segment, deeper segments being
-    merged already.  Those that are not told apart from the pooled share of all of
-    them are marked ``/=``; the rest is pooled above and below that share, and who is
-    not told apart there is marked ``/+`` or ``/-`` (no segment holds a slash).
+    merged already.  Those that are not told apart from all others are marked ``/=``;
+    the rest is pooled above and below the common share, and who is not told apart
+    from the others there is marked ``/+`` or ``/-`` (no segment holds a slash).
     """
     counts = F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
     every = F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
@@ -124,15 +127,15 @@ def rejected(known: DataFrame, reject: float = 0.9, alpha: float = 1.0, beta: fl
     return known.join(bad_templates, ["host", "template"]).select("host", "raw", "template", "purity")
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], reject: float = 0.9) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], reject: float = 0.9, label: Column | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity (both null unless a template rejects) per row of ``pages``."""
     host, path = host_and_path(F.col("url"))
-    given = ["bad"] if "bad" in pages.columns else []
-    parsed = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"), *given)
+    said = F.lit(None).cast("long") if label is None else F.try_to_number(label.cast("string"), F.lit("9")).cast("long")
+    parsed = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"), F.when(said.isin(0, 1), said).alias("bad"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = parsed.withColumn("rule", rule).withColumn("rule_verdict", verdict).withColumn("raw", _segments(F.col("path")))
-    label = F.col("bad").cast("long") if given else F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0).cast("long")
-    dropped = cut(rejected(templates(judged.select("host", "raw", label.alias("bad"))), reject))
+    learnt = F.col("bad") if label is not None else F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0).cast("long")
+    dropped = cut(rejected(templates(judged.select("host", "raw", learnt.alias("bad"))), reject))
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
     verdicts = F.coalesce("rule_verdict", F.when(F.col("purity").isNotNull(), "block").otherwise("allow"))
