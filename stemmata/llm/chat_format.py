@@ -13,8 +13,9 @@ reversible for every text.
 
 Defined cases: null text or role counts as empty; null turns sort first; rows
 with equal turn sort by role, then text; repeated rows are turns like others;
-a null conv_id is one conversation of its own; an empty table gives no rows;
-other columns are ignored.
+a null conv_id is one conversation of its own; a text of any length is formatted
+whole, a conversation being one row that must fit Spark's 2 GB for a value; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

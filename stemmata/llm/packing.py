@@ -8,8 +8,8 @@ round's rows are written to the shared folder, and a task never holds more than
 about ``GROUP`` items.
 
 Defined cases: a null or empty text is its end mark alone (id 0); equal rows are
-packed each by itself; null doc_ids are kept; an empty table gives no rows;
-other columns are ignored.  Only a document of more than ``capacity`` tokens is
+packed each by itself; null doc_ids are kept; a text of any length is cut as told;
+an empty table gives no rows; other columns are ignored.  Only a document of more than ``capacity`` tokens is
 cut; its last piece may be shorter.
 """
 

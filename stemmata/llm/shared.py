@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -21,11 +24,15 @@ SPACED = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in r
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset and all run in one process."""
     context = spark.sparkContext
-    set_by_cluster = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    set_by_cluster = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not set_by_cluster:
-        set_by_cluster = context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='stemmata-')}"
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="stemmata-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        set_by_cluster = f"file://{own}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(set_by_cluster)
     return set_by_cluster.rstrip("/")
