@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's ``docs``.  All but the last return
 the columns of ``documents``.
+
+Defined cases, in every stage: a null or empty text is scored like an empty one,
+is nobody's copy, has no passages and no windows, and is packed as its end mark;
+texts of any length are read whole; of rows that share a doc_id one stays at the
+near-duplicate stage; a null doc_id is kept; other columns, whatever their names,
+are carried through by all stages but the last, which drops them; an empty table
+gives no rows.  Where labels of both kinds are missing nothing is rejected; an
+empty benchmark hits nothing.
 """
 
 from __future__ import annotations
