@@ -2,11 +2,12 @@
 
 Benchmark items (questions and answers) are normalised to lower-case words and
 cut into windows of ``window`` consecutive words; an item with fewer words, but
-not none, is one window.  Words of the benchmark are numbered and written as one
-character each, so a window is a string of at most ``window`` characters and the
-automaton has at most that many nodes for a word of the benchmark.  It scans the
-numbers of each document's words once (a word that the benchmark lacks is
-character 0), and hits are mapped back to the document's own characters.
+not none, is one window.  Words of the benchmark are numbered and written as two
+characters each, of different alphabets, so a window is a string of at most twice
+``window`` characters and the automaton has at most that many nodes for a word of
+the benchmark.  It scans the numbers of each document's words once (a word that
+the benchmark lacks is two characters 0), and hits are mapped back to the
+document's own characters.
 
 What is broadcast is the text of the benchmark, at most ``slice_bytes`` of it;
 every worker builds the automaton from it once, and keeps it for later tasks.  A
@@ -24,6 +25,7 @@ hits nothing; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
 import uuid
@@ -44,23 +46,27 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _RESULT = "doc_id bigint, n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
 
 
+def _letter(n: int) -> str:
+    """Character ``n``, surrogates left out."""
+    return chr(n if n < 0xD800 else n + 0x800)
+
+
 class Machine:
     """The automaton over the windows of some items, given as (item id, text)."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.letters: dict[bytes, str] = {}
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         self.sizes: list[int] = []  # words of each window, and the item or items it stands in
         self.owners: list[str | set[str]] = []
-        for item, text in items:
-            words = alnum_words(text)
-            for w in words:
-                if w not in self.letters:
-                    n = len(self.letters) + 1
-                    self.letters[w] = chr(n if n < 0xD800 else n + 0x800)  # no surrogates
-            line = "".join(map(self.letters.__getitem__, words))
-            for i in range(max(1, len(line) - window + 1) if line else 0):
-                self._add(line[i : i + window], item)
+        texts = [(item, alnum_words(text)) for item, text in items]
+        self.letters = dict.fromkeys(w for _, words in texts for w in words)
+        # two digits, so that no node has more children than about the root of the number of words
+        base = max(2, math.isqrt(len(self.letters)) + 1)
+        for n, w in enumerate(self.letters):
+            self.letters[w] = _letter(1 + n // base) + _letter(1 + base + n % base)
+        for item, words in texts:
+            for i in range(max(1, len(words) - window + 1) if words else 0):
+                self._add("".join(map(self.letters.__getitem__, words[i : i + window])), item)
         self.full = bool(self.sizes)
         if self.full:
             self.trie.make_automaton()
@@ -69,7 +75,7 @@ class Machine:
         at = self.trie.get(line, -1)
         if at < 0:
             self.trie.add_word(line, len(self.sizes))
-            self.sizes.append(len(line))
+            self.sizes.append(len(line) // 2)
             self.owners.append(item)
         elif isinstance(self.owners[at], set):
             self.owners[at].add(item)
@@ -82,8 +88,9 @@ class Machine:
         spans, items = [], set()
         if words and self.full:
             known = self.letters.get
-            for end, at in self.trie.iter("".join([known(w, "\0") for w in words])):
-                spans.append((end + 1 - self.sizes[at], end + 1))
+            for last, at in self.trie.iter("".join([known(w, "\0\0") for w in words])):
+                end = last // 2 + 1
+                spans.append((end - self.sizes[at], end))
                 own = self.owners[at]
                 if isinstance(own, set):
                     items |= own
