@@ -8,7 +8,9 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stemmata.session import ship
 
@@ -49,6 +51,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` computed once and kept as Parquet in the shared folder, and the folder's name for :func:`delete`."""
+    folder = new_folder(df.sparkSession, "part")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that :func:`written` made, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sieve(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of ``bits`` places (a power of two, from 2 ** 15) in which the places of a table's one column of 64-bit hashes are set."""
+    place = F.pmod(F.col(hashes.columns[0]), F.lit(bits)) + 1
+    rows = hashes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for bucket, held in rows.toLocalIterator():
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(held, np.uint8)
+    return out
+
+
+def sifted(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have their place set; all that were given to :func:`sieve` have."""
+    place = hashes.astype(np.int64).view(np.uint64) & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds (texts are long, so rows alone are no bound), and let workers import this library."""
     ship(spark)

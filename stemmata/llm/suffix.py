@@ -7,6 +7,9 @@ maximal repeat and is left out at once.  The other roots are sorted to the end,
 and one scan with a stack over their neighbours' common prefixes visits the
 tree; an interval whose suffixes follow different bytes cannot be extended to
 the left and is a maximal repeat, given with all its occurrences.
+
+A string may stand for several equal ones.  It is then a leaf that occurs more
+than once, and a repeat by itself unless a neighbour shares all of it.
 """
 
 from __future__ import annotations
@@ -34,16 +37,29 @@ def _ranks(data: np.ndarray, top: int) -> np.ndarray:
     return ranks
 
 
-def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, text numbers, offsets) of every maximal repeat of at least ``least`` (8 or more) bytes within the texts."""
+def maximal_repeats(texts: list[bytes], least: int, counts: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, text numbers, offsets) of every maximal repeat of at least ``least`` (8 or more) bytes within the texts.
+
+    ``counts`` says for how many equal strings each text stands.
+    """
+    several = {k for k, t in enumerate(texts) if counts and counts[k] > 1 and len(t) >= least}
+    for length, numbers, offsets, inner in _shared_repeats(texts, least, several):
+        several.difference_update(inner)
+        yield length, numbers, offsets
+    for k in sorted(several):
+        yield len(texts[k]), np.array([k]), np.array([0])
+
+
+def _shared_repeats(texts: list[bytes], least: int, several: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[int]]]:
+    """Maximal repeats with two or more suffixes, and which of ``several`` are wholly shared with another text there."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts])
     firsts = np.cumsum(sizes) - sizes
     own = np.repeat(np.arange(len(texts)), np.maximum(0, sizes - least + 1))
     if len(own) < 2:
         return
-    counts = np.maximum(0, sizes - least + 1)
-    offset = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    windows = np.maximum(0, sizes - least + 1)
+    offset = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = firsts[own] + offset
     top = 1 << (least.bit_length() - 1)
     ranks = _ranks(data, top)
@@ -68,7 +84,8 @@ def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple[int, np.nd
         places = a + np.array(inner)
         shared = [_common(tails[i], tails[j], least) for i, j in zip(inner, inner[1:], strict=False)]
         for length, lo, hi in _intervals(shared, left[places].tolist()):
-            yield length, own[places[lo : hi + 1]], offset[places[lo : hi + 1]]
+            members, starts = own[places[lo : hi + 1]], offset[places[lo : hi + 1]]
+            yield length, members, starts, [k for k, o in zip(members.tolist(), starts.tolist(), strict=True) if o == 0 and k in several and sizes[k] == length]
 
 
 def _common(x: bytes, y: bytes, known: int) -> int:
