@@ -26,7 +26,7 @@ probability 3e-5, one at 0.8 needs ``least`` 26 for the like; the longer
 signatures' bound is set 4.6 standard deviations below the mean.
 
 Defined cases: null or empty texts have no shingles, are linked with nothing and
-are kept; rows that share a doc_id count as one node, whatever their texts;
+are kept; a text of any length is read whole; rows that share a doc_id count as one node, whatever their texts;
 rows with a null doc_id take part through equal sets only and are kept where
 their component has no id; every input row gives one row; an empty table gives
 no rows; other columns are ignored.
@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, si
     known = classes.filter("rep is not null")
 
     posted = known.select("rep", F.explode(_coordinates(size)).alias("pair"))
-    shared = posted.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1")
+    # counts that are joined back are kept first, so that a popular pair or centre can be split over tasks
+    shared = cut(posted.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1"))
     chosen = (
         posted.join(shared, "pair")
         .groupBy("rep")
@@ -245,10 +246,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, si
     roots = cut(components(links).withColumnRenamed("node", "rep"))
 
     labelled = prefix.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    labelled = cut(labelled)
     mixed = labelled.groupBy("pair").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("pair")
+    mixed = cut(mixed.join(centres.select("pair", "centre"), "pair"))
     # a class takes part once in each centre it shares, however many postings name that centre
-    members = cut(labelled.join(mixed.join(centres.select("pair", "centre"), "pair"), "pair").select("centre", "rep", "root").distinct())
-    members = members.join(members.groupBy("centre").agg(F.count("*").alias("n")), "centre")
+    members = cut(labelled.join(mixed, "pair").select("centre", "rep", "root").distinct())
+    members = members.join(cut(members.groupBy("centre").agg(F.count("*").alias("n"))), "centre")
     reps = cut(members.select(F.col("rep").alias("id")).distinct())
     wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
     longer = _texts(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_longer(n), "id bigint, longer binary")
