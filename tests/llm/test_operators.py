@@ -59,25 +59,170 @@ def test_url_host_and_path(spark):
 
 def test_url_templates_reject_bad_branches_only(spark):
     rows = [(f"http://h.test/spam/{i}", 1) for i in range(40)] + [(f"http://h.test/good/{i}", 0) for i in range(40)] + [("http://h.test/spam/999", None), ("http://h.test/good/999", None)]
-    pages = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(rows)], "page_id long, url string, bad int")
-    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, []).collect()}
+    pages = spark.createDataFrame([(i, u, b, "x") for i, (u, b) in enumerate(rows)], "page_id long, url string, bad int, purity string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, [], label=F.col("bad")).collect()}
     assert got[80] == "block" and got[81] == "allow"
+    assert all(r.verdict == "allow" for r in url_filter.filter_urls(pages, []).collect())
     assert url_filter.filter_urls(pages.limit(0), URL_RULES).count() == 0
 
 
+def brute_templates(urls, wide=32, least_share=0.2, z=1.96, reject=0.9):
+    """Verdict of each (host, segments, label), by a plain tree."""
+    raw = [(h, tuple("*" if re.search(url_filter._IDENTIFIER, s) else s for s in segs), b) for h, segs, b in urls]
+    made = [()] * len(raw)
+    for level in range(max((len(s) for _, s, _ in raw), default=0)):
+        children = {}
+        for (h, segs, _), t in zip(raw, made, strict=True):
+            if level < len(segs):
+                node = children.setdefault((h, t), {})
+                node[segs[level]] = node.get(segs[level], 0) + 1
+        wild = {k for k, node in children.items() if len(node) > wide and max(node.values()) < least_share * sum(node.values())}
+        made = [t if level >= len(segs) else (*t, "*" if (h, t) in wild else segs[level]) for (h, segs, _), t in zip(raw, made, strict=True)]
+    place = {(h, t): t for (h, _, _), t in zip(raw, made, strict=True)}
+    tally = {}
+    for (h, _, b), t in zip(raw, made, strict=True):
+        own = tally.setdefault((h, t), [0, 0])
+        if b is not None:
+            own[0], own[1] = own[0] + 1, own[1] + b
+
+    def apart(n, bad, all_n, all_bad):
+        if not n or n == all_n:
+            return False
+        p = all_bad / all_n
+        return abs(bad / n - (all_bad - bad) / (all_n - n)) > z * (p * (1 - p) * (1 / n + 1 / (all_n - n))) ** 0.5 + 1e-12
+
+    for level in reversed(range(max(map(len, made), default=0))):
+        beside = {}
+        for (h, t), m in place.items():
+            if level < len(m):
+                own = beside.setdefault((h, m[:level], m[level + 1 :]), {}).setdefault(m[level], [0, 0])
+                own[0], own[1] = own[0] + tally[h, t][0], own[1] + tally[h, t][1]
+        marks = {}
+        for node, branches in beside.items():
+            n, bad = (sum(x[k] for x in branches.values()) for k in (0, 1))
+            sides = {}
+            for seg, (m, b) in branches.items():
+                sides.setdefault("/=" if not apart(m, b, n, bad) else "/+" if b * n > bad * m else "/-", []).append(seg)
+            for side, segs in sides.items():
+                n, bad = (sum(branches[s][k] for s in segs) for k in (0, 1))
+                marks |= {(node, s): s if side != "/=" and apart(*branches[s], n, bad) else side for s in segs}
+        for (h, t), m in place.items():
+            if level < len(m):
+                place[h, t] = (*m[:level], marks[(h, m[:level], m[level + 1 :]), m[level]], *m[level + 1 :])
+    pooled = {}
+    for (h, t), m in place.items():
+        own = pooled.setdefault((h, m), [0, 0])
+        own[0], own[1] = own[0] + tally[h, t][0], own[1] + tally[h, t][1]
+    bad = {k for k, (n, b) in pooled.items() if (b + 1) / (n + 2) >= reject}
+    return ["block" if (h, place[h, t]) in bad else "allow" for (h, _, _), t in zip(raw, made, strict=True)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_url_templates_against_a_plain_tree(spark, seed):
+    draw = random.Random(seed)
+    rates = {}
+    rows = []
+    for k in range(900):
+        host = draw.choice(["a.test", "b.test", ""])
+        segs = [draw.choice(["shop", "news", "x"]), *(draw.choice(["p", "q", "r", f"item{draw.randint(0, 90)}", str(draw.randint(1, 999))]) for _ in range(draw.randint(0, 7)))]
+        rate = rates.setdefault((host, segs[0], len(segs) > 2 and segs[1]), draw.choice([0, 0.05, 0.97, 1]))
+        rows.append((host, segs, draw.choice([None, int(draw.random() < rate)])))
+    pages = spark.createDataFrame([(k, f"http://{h}/{'/'.join(s)}", "no" if b is None else str(b), "x", "y") for k, (h, s, b) in enumerate(rows)], "page_id long, url string, bad string, host string, raw string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, [], label=F.col("bad")).collect()}
+    want = brute_templates(rows)
+    assert [got[k] for k in range(len(rows))] == want
+    assert {"block", "allow"} == set(want)
+
+
+def test_url_deep_paths_and_odd_rows(spark):
+    deep = "/".join("abcdefg")
+    rows = [(None, f"http://h.test/{deep}/bad/{k}", 1) for k in range(40)] + [(7, f"http://h.test/{deep}/good/{k}", 0) for k in range(40)] + [(8, None, None), (8, "", None), (9, "x" * 100_000, None)]
+    pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, bad int, verdict string")
+    got = url_filter.filter_urls(pages, [], label=F.col("bad")).collect()
+    assert len(got) == len(rows)
+    assert {(r.page_id, r.verdict) for r in got} == {(None, "block"), (7, "allow"), (8, "allow"), (9, "allow")}
+
+
+def test_url_rules_against_sql(spark, tmp_path):
+    import duckdb
+
+    from stemmata.llm import queries
+
+    path = "/root/testdata/sf0.001"
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in queries.op1_url_filters(spark, path).collect())
+    rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
+    want = duckdb.sql(f"""
+        with p as (select page_id, coalesce(case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end, '') as rest from '{path}/pages.parquet'),
+        u as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+        r(verdict, rule, h, pre) as (values {rules})
+        select u.page_id, host, path, arg_max(rule, length(rule)), arg_max(verdict, length(rule))
+        from u left join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, pre) group by all order by 1, 2, 3""").fetchall()
+    assert got == sorted(want)
+
+
 # exact top-k
 
-def test_topk_against_brute_force(spark):
+def brute_top(rows, is_query, k):
+    """Rows are (id, vector); ranks of each query row."""
+    out = []
+    for i, (q, x) in enumerate(rows):
+        if is_query(q):
+            scored = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), v) for j, (v, y) in enumerate(rows) if j != i)[:k]
+            out += [(q, r + 1, v, -s) for r, (s, v) in enumerate(scored)]
+    return sorted(out)
+
+
+def test_topk_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ANNULUS", 8)
+    monkeypatch.setattr(topk, "PART_ROWS", 100)
     draw = np.random.default_rng(3)
-    vectors = [[int(x) for x in v] for v in draw.integers(-6, 7, (300, 8))] + [[1] * 8] * 40
-    rows = [(i, v) for i, v in enumerate(vectors)] + [(500, None), (501, []), (502, [1, None] * 4), (503, [1] * 7), (None, [1] * 8), (20, vectors[20])]
-    got = {}
-    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, z array<long>"), F.col("vec_id") % 20 == 0, k=7, pivots=9, slice_rows=4).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    for q in range(0, 340, 20):
-        scored = sorted((-sum(a * b for a, b in zip(vectors[q], vectors[v], strict=True)), v) for v in range(340) if v != q)[:7]
-        assert sorted(got.pop(q)) == [(k + 1, v, -s) for k, (s, v) in enumerate(scored)]
-    assert not got
+    rows = [(i, [int(x) for x in v]) for i, v in enumerate([*draw.integers(-6, 7, (300, 8)), *[[1] * 8] * 40])]
+    rows += [(503, [1] * 7), (504, [9]), (520, [2, 3]), (20, rows[20][1]), (1, [5] * 8), (1, [7] * 8), (40, [3] * 12)]
+    lost = [(500, None), (501, []), (502, [1, None] * 4), (None, [1] * 8)]
+    frame = spark.createDataFrame([(i, v, 1.0) for i, v in rows + lost], "vec_id long, z array<long>, distance double")
+    got = sorted(tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 20 == 0, k=7, pivots=9, slice_rows=4).collect())
+    assert got == brute_top(rows, lambda q: q % 20 == 0, 7)
+
+
+def test_topk_scores_are_exact(spark):
+    big = [(0, [2_999_999_999, 3]), (1, [3_000_000_000, -1]), (2, [3_000_000_001, 2]), (3, [1 << 40, 1 << 21]), (4, [(1 << 40) + 1, 5])]
+    frame = spark.createDataFrame(big, "vec_id long, z array<long>")
+    got = sorted(tuple(r) for r in topk.top_k(frame.filter("vec_id < 3"), F.col("vec_id") == 0, k=3).collect())
+    assert got == brute_top(big[:3], lambda q: q == 0, 3)
+    assert topk.exact(np.array([[1 << 40, 3]]), np.array([[1 << 20, 1 << 55]]), 2.0**63).tolist() == [[(1 << 60) + 3 * (1 << 55)]]
+    with pytest.raises(OverflowError):
+        topk.exact(np.array([[1 << 40]]), np.array([[1 << 40]]), 2.0**80)
+
+
+def test_topk_of_more_rows_than_a_batch():
+    draw = np.random.default_rng(5)
+    z = draw.integers(-3, 4, (10_000, 4))
+    best = topk.Best(np.array([-1]), [[1, 2, 3, 1]], 30)
+    best.offer(np.array([0]), np.arange(10_000), np.arange(10_000)[::-1].copy(), z, 36.0)
+    want = sorted(zip((-(z @ [1, 2, 3, 1])).tolist(), range(9_999, -1, -1), strict=True))[:30]
+    assert list(zip((-best.scores[0]).tolist(), best.ids[0].tolist(), strict=True)) == want
+
+
+def test_topk_skips_far_annuli():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(1)
+    centres = draw.normal(size=(40, 16)) * 1000
+    z = np.rint(centres[draw.integers(0, 40, 8000)] + draw.normal(size=(8000, 16)) * 5).astype(np.int64)
+    norms = (z.astype(float) ** 2).sum(axis=1)
+    top = float(norms.max()) * (1 + 1e-9)
+    pivots = z[:64]
+    distance = topk._distances(z.astype(float) @ pivots.T, norms, norms[:64], top)
+    at = distance.argmin(axis=1)
+    order = np.lexsort((distance[np.arange(8000), at], at))
+    block = pa.table({"row": order, "vec_id": order, "z": pa.array(z[order].tolist(), pa.list_(pa.int64())), "pivot": at[order].astype(np.int32), "distance": distance[order, at[order]]})
+    queries = (np.arange(0, 8000, 50), np.arange(0, 8000, 50), z[::50].tolist())
+    best, to_pivot = topk.seeded(queries, (np.arange(64), pivots.tolist(), pivots.tolist()), 5, top)
+    topk.search(best, to_pivot, top, block)
+    assert best.scored < 0.5 * 160 * 8000
+    for q, (scores, ids) in enumerate(zip(best.scores.tolist(), best.ids.tolist(), strict=True)):
+        want = sorted((-int(s), i) for i, s in enumerate(z @ z[50 * q]) if i != 50 * q)[:5]
+        assert [(-s, i) for s, i in zip(scores, ids, strict=True)] == want
 
 
 def test_topk_of_nothing(spark):
@@ -212,9 +357,30 @@ def test_decontamination_against_brute_force(spark, slice_bytes):
     assert decontaminate.decontaminate(made(spark, []), bench).count() == 0
 
 
+def test_machine_is_bounded_and_cuts_long_items():
+    draw = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    items = [(str(k), " ".join(draw.choices(vocabulary, k=100)).encode()) for k in range(300)]
+    machine = decontaminate.Machine(items, 10)
+    stats = machine.trie.get_stats()
+    assert stats["nodes_count"] <= 20 * 300 * 100 + 1 and stats["longest_word"] == 20
+    # what a slice of full size may take in a worker
+    size = sum(len(t) for _, t in items)
+    assert stats["total_size"] / size * decontaminate.SLICE_BYTES < 600e6
+    long = " ".join(draw.choices(vocabulary, k=500)).encode()
+    parts = list(decontaminate._parts(long, 10, 800))
+    assert len(parts) > 2
+    whole, cut = decontaminate.Machine([("x", long)], 10), decontaminate.Machine([("x", p) for p in parts], 10)
+    assert whole.scan(long)[2] == cut.scan(long)[2] == {"x"} and sorted(whole.scan(long)[1]) == sorted(cut.scan(long)[1])
+    assert len(whole.sizes) == len(cut.sizes) == 491
+
+
 # warc
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_warc_round_trip(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(warc, "FILTER_BITS", 1 << 27 if few else 16)
     rows = [(5, "http://a\r\nb", "<p>é</p>"), (3, "u", "<p>é</p>"), (9, None, None), (10, "v", ""), (11, "w", "x" * 300_000), (12, "w", "y"), (None, "n", "y")]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, first string")
     bundles = warc.write_archives(pages.repartition(1), frame_bytes=1000, bundle_bytes=1)
@@ -287,6 +453,83 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(made(spark, [])).count() == 0
 
 
+def edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        before, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            before, row[j] = row[j], min(before + (a != b), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def brute_notices(normal, words, most):
+    starts = [m.end() for m in re.finditer(" ", normal)][:-1]
+    ends = [m.start() for m in re.finditer(" ", normal)][1:]
+    found = {}
+    for a in starts:
+        near = [(edits(normal[a:b], words), a, b) for b in ends if a < b and abs(b - a - len(words)) <= most]
+        if near and min(near)[0] <= most:
+            found[a] = min(near)
+    kept = []
+    for n, a, b in sorted(found.values()):
+        if all(b <= x or y <= a for _, x, y in kept):
+            kept.append((n, a, b))
+    return sorted((a, n) for n, a, b in kept)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_notices_against_brute_force(seed):
+    draw = random.Random(seed)
+    notices = {"all rights reserved": ("p", 1), "released under the mit license": ("m", 3)}
+    finder = license_scan.Finder({}, notices)
+
+    def bent(words, n):
+        for _ in range(n):
+            k = draw.randrange(len(words))
+            words = words[:k] + draw.choice(["", "x", "q" + words[k]]) + words[k + 1 :]
+        return words
+
+    text = " " + " ".join(draw.choice([prose(k, draw.randint(0, 3)), bent("all rights reserved", draw.randint(0, 2)), bent("released under the mit license", draw.randint(0, 4))]) for k in range(60)) + " "
+    text = re.sub(" +", " ", text)
+    for words, (label, most) in notices.items():
+        got = sorted((a, n) for x, a, b, n in finder.fuzzy(text) if x == label)
+        assert got == brute_notices(text, words, most)
+
+
+def test_a_better_notice_hides_no_earlier_one():
+    finder = license_scan.Finder({}, license_scan.NOTICES)
+    assert sorted((a, n) for _, a, _, n in finder.fuzzy(" all rights reservd all rights reserved ")) == [(1, 1), (20, 0)]
+
+
+def test_repeated_notices_take_linear_time():
+    import time
+
+    finder, took = license_scan.Finder({}, license_scan.NOTICES), []
+    for n in (2000, 8000):
+        began = time.process_time()
+        assert len(finder.fuzzy(" " + "all rights reservd " * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_base_licenses_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(k, t) for k, t in enumerate([None, "", "Apache License", "mit  license MIT-License", "cc by cc by", "GNU General public LICENSE. cc by é mit license", "x apache licenses", "gnu general public license " * 3])]
+    frame = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    want = duckdb.sql(f"""
+        with d as (select doc_id, {words} as w from frame), p(phrase, label, n) as (values {", ".join(f"('{k}', '{v}', {len(k.split())})" for k, v in license_scan.PHRASES.items())}),
+        hits as (select doc_id, i - 1 as place, label from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d), p where array_to_string(w[i : i + n - 1], ' ') = phrase)
+        select doc_id, count(place), min(place), max(place) from d left join hits using (doc_id) group by doc_id order by doc_id""").fetchall()
+    got = []
+    for r in license_scan.scan_licenses(made(spark, rows)).collect():
+        own = [p.first_word for p in r.places if p.exact]
+        got.append((r.doc_id, len(own), min(own, default=None), max(own, default=None)))
+    assert sorted(got) == want
+
+
 # suffix arrays
 
 def brute_repeats(texts, least):
@@ -317,6 +560,13 @@ def test_maximal_repeats_against_brute_force(seed):
     assert got == brute_repeats(texts, 9)
 
 
+def test_strings_that_stand_for_several_are_repeats():
+    groups = lambda texts, counts: sorted((length, sorted(zip(n.tolist(), o.tolist(), strict=True))) for length, n, o in suffix.maximal_repeats(texts, 8, counts))
+    assert groups([b"abcdefghij"], [1]) == [] and groups([b"abcdefghij"], [3]) == [(10, [(0, 0)])] and groups([b"short"], [9]) == []
+    assert groups([b"abcdefghij", b"xabcdefghijy"], [2, 1]) == [(10, [(0, 0), (1, 1)])]
+    assert groups([b"abcdefghij", b"abcdefghzz"], [2, 1]) == [(8, [(0, 0), (1, 0)]), (10, [(0, 0)])]
+
+
 def brute_kept(texts, least):
     seen = {}
     for t in texts:
@@ -332,18 +582,71 @@ def brute_kept(texts, least):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+def repeated_rows():
     passage, draw = prose(77, 70), random.Random(4)
-    rows = [*AWKWARD, (20, "x" * 450), (21, prose(5, 3000)), *((30 + k, prose(k, draw.randint(1, 40)) + passage[draw.randint(0, 9) :] + prose(90 + k, draw.randint(0, 40))) for k in range(25)), (60, edited(prose(60, 400), 1, 0.02)), (61, edited(prose(60, 400), 2, 0.02))]
+    rows = [*AWKWARD, (20, "x" * 450), (21, prose(5, 3000)), (22, prose(78, 60)), (23, prose(78, 60)), (23, prose(78, 60)), (24, prose(79, 30) + prose(78, 60) + prose(80, 9))]
+    rows += [(30 + k, prose(k, draw.randint(1, 40)) + passage[draw.randint(0, 9) :] + prose(90 + k, draw.randint(0, 40))) for k in range(25)]
+    return [*rows, (60, edited(prose(60, 400), 1, 0.02)), (61, edited(prose(60, 400), 2, 0.02))]
+
+
+@pytest.mark.parametrize("most", [1024, 3])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", 300_000 if most > 3 else 0)
+    rows = repeated_rows()
     docs = made(spark, rows)
     got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_report(docs).collect())
     assert got == sorted(brute_kept([(t or "").encode() for _, t in rows], 200))
     short = suffix_dedup.without_repeats(docs)
     assert short.columns == docs.columns and short.count() == len(rows)
-    assert [r.text for r in short.filter("doc_id in (20, 21)").collect()] == ["", ""]
+    assert [r.text for r in short.filter("doc_id in (20, 21, 22, 23)").collect()] == [""] * 5
+    assert [r.text for r in short.filter("doc_id = 1").collect()] == [None]
     assert suffix_dedup.removal_report(made(spark, [])).count() == 0
+    assert suffix_dedup.without_repeats(made(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_wider_grams_keep_every_window(seed):
+    draw = random.Random(seed)
+    text = bytes(draw.randint(97, 122) for _ in range(2000))
+    own, start, size, gram, _ = suffix_dedup.stretches([text], 200)
+    for a, n, g in zip(start.tolist(), size.tolist(), gram.tolist(), strict=True):
+        part = text[a : a + n]
+        at = suffix_dedup.core_of(part, g, 200)
+        todo, windows = [(part, a, at, 64)], []
+        while todo:
+            t, base, at, core = todo.pop()
+            if core == 200:
+                assert len(t) == 200
+                windows.append(base)
+            else:
+                todo += [(t[x:y], base + x, place, width) for x, y, place, width in suffix_dedup.widened(t, at, core, 200)]
+        assert sorted(windows) == list(range(a, a + n - 199))
+
+
+def test_repeat_groups_have_all_their_places(spark):
+    rows = repeated_rows()
+    texts = {}
+    for _, t in rows:
+        texts.setdefault((t or "").encode(), []).append(t)
+    docs = made(spark, rows)
+    groups, places = (x.collect() for x in suffix_dedup.repeat_groups(docs))
+    text_of = {(r.key, r.tag): (r.text or "").encode() for r in docs.select(*suffix_dedup.text_key(F.coalesce("text", F.lit(""))), "text").collect()}
+    where = {}
+    for p in places:
+        where.setdefault((p.gram, p.whole), []).append((p.key, p.tag, p.start))
+    found = {}
+    for g in groups:
+        own = where[g.gram, g.whole]
+        assert len(own) == g.n
+        found.setdefault((g.bucket, g.number), []).extend((text_of[k, t][s + g.offset : s + g.offset + g.length], k, t, s + g.offset) for k, t, s in own)
+    assert found
+    for members in found.values():
+        strings = {m[0] for m in members}
+        assert len(strings) == 1 and len(next(iter(strings))) >= 200
+        string = strings.pop()
+        everywhere = sum(len(same) * sum(t.startswith(string, a) for a in range(len(t) - len(string) + 1)) for t, same in texts.items())
+        assert len(members) == everywhere >= 2
 
 
 def test_long_texts_are_cut_without_loss(spark, monkeypatch):

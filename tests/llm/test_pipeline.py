@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_operators import brute_components, brute_hits, brute_kept, edited, prose
 
 import corpus_pipeline
@@ -61,3 +62,21 @@ def test_stages(spark, folder, tmp_path):
         assert got[i, 0] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     assert {i for i, _ in got} == set(clean)
     assert corpus_pipeline.run(spark, path).count() == len(got)
+
+
+@pytest.mark.parametrize("kept", [True, False])
+def test_stages_of_awkward_tables(spark, tmp_path, kept):
+    names = ["key", "tag", "gram", "_starts", "score", "label", "n", "rep", "a", "page_id", "text_a", "part", "done"]
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "no id", "en", "s", 5), (3, "once " * 3, "en", None, None), (3, "once " * 3, "en", None, None), (4, prose(1, 5000), "en", "s", None), (5, prose(1, 5000), None, "s", None)]
+    docs = spark.createDataFrame([r + ("x",) * len(names) for r in rows], SCHEMA + "".join(f", `{c}` string" for c in names)).filter(F.lit(kept))
+    path = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, path).write.parquet(f"{path}/{k}")
+        last, docs = docs, spark.read.parquet(f"{path}/{k}")
+        if k < 4:
+            assert docs.columns == last.columns
+    placed = sorted(((r.doc_id, r.piece) for r in docs.collect()), key=str)
+    assert {i for i, _ in placed} == ({1, 2, 3, 4, None} if kept else set())
+    assert sum(i == 3 for i, _ in placed) == int(kept)
