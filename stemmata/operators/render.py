@@ -16,30 +16,72 @@ from pyspark.sql import types as T
 
 from stemmata.functions.text import fold_text
 
-_SHORT = re.compile(r"\{\{\s*(?P<ref>[^{}|]+?)\s*(?:\|(?P<options>[^{}]*))?\}\}")
-_ATTRIBUTES = re.compile(r'\[passage="(?P<ref>[^"]+)"(?P<options>(?:\s+[\w.]+="[^"]*")*)\s*\]')
-_FENCED = re.compile(r"^```passage[ \t]*\n(?P<body>.*?)^```[ \t]*$", re.M | re.S)
+#: Where a tag may begin, and what follows there: name=value, the value quoted or up to a given end.
+_OPENING = re.compile(r"\{\{|\[[ \t]*passage[ \t]*=|^```[ \t]*passage[ \t]*\r?\n", re.M)
+_VALUE = re.compile(r"""\s*([A-Za-z_][\w.]*)[ \t]*=[ \t]*("[^"]*"|'[^']*'|[^\s"'\]]+)""")
+_QUOTED = re.compile(r"""\s*("[^"]*"|'[^']*'|[^\s"'\]]+)""")
+_CLOSING_FENCE = re.compile(r"^```[ \t]*$", re.M)
 #: Options that a tag may carry; emphasis is ``bold.`` or ``italic.`` and a language.
 OPTIONS = {"en", "original", "context", "vrs", "naming", "template"}
 _MARKS = {"bold": "**", "italic": "*"}
+#: Keys under which a fenced block may name its reference.
+REFERENCE_KEYS = ("passage", "reference", "ref")
+
+
+def _bare(value: str) -> str:
+    value = value.strip()
+    return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+
+
+def _short(text: str, at: int) -> tuple[int, str, dict[str, str], str | None] | None:
+    """End, reference, options and error of what stands behind two braces: segments between bars."""
+    end = text.find("}}", at)
+    body = text[at:end]
+    if end < 0 or "{" in body or "}" in body or "\n" in body:
+        return None
+    reference, *rest = (segment.strip() for segment in body.split("|"))
+    pairs = [segment.partition("=") for segment in rest if segment]
+    bad = next((f"unread option {name}" for name, equals, _ in pairs if not equals), None)
+    return end + 2, reference, {name.strip().lower(): _bare(value) for name, equals, value in pairs if equals}, bad
+
+
+def _attributes(text: str, at: int) -> tuple[int, str, dict[str, str], str | None] | None:
+    """The same behind an opening bracket: a quoted reference, then name=value up to the closing bracket."""
+    reference = _QUOTED.match(text, at)
+    options: dict[str, str] = {}
+    at = reference.end() if reference else at
+    while pair := _VALUE.match(text, at):
+        options[pair[1].lower()] = _bare(pair[2])
+        at = pair.end()
+    while at < len(text) and text[at].isspace():
+        at += 1
+    return (at + 1, _bare(reference[1]) if reference else "", options, None) if text[at : at + 1] == "]" else None
+
+
+def _fenced(text: str, at: int) -> tuple[int, str, dict[str, str], str | None] | None:
+    """The same behind an opening fence: lines of ``key: value`` up to a closing one."""
+    closing = _CLOSING_FENCE.search(text, at)
+    if not closing:
+        return None
+    lines = (line.partition(":") for line in text[at : closing.start()].splitlines())
+    held = {key.strip().lower(): _bare(value) for key, _, value in lines if value.strip()}
+    names = [held.pop(k) for k in REFERENCE_KEYS if k in held]
+    return closing.end(), names[0] if names else "", held, None
 
 
 def citations(text: str) -> list[dict]:
-    """Tags in order of place: reference, options, start, end, inline, and error where an option is unknown."""
-    found = []
-    for m in _SHORT.finditer(text):
-        pairs = [p.partition("=")[::2] for p in (m["options"] or "").split(",") if p.strip()]
-        found.append((m, m["ref"], {k.strip(): v.strip() for k, v in pairs}, True))
-    for m in _ATTRIBUTES.finditer(text):
-        found.append((m, m["ref"], dict(re.findall(r'([\w.]+)="([^"]*)"', m["options"])), False))
-    for m in _FENCED.finditer(text):
-        held = {k.strip(): v.strip().strip("\"'") for k, _, v in (line.partition(":") for line in m["body"].splitlines()) if v.strip()}
-        found.append((m, held.pop("passage", held.pop("reference", "")), held, False))
-    out = []
-    for m, ref, options, inline in sorted(found, key=lambda f: f[0].start()):
+    """Tags in order of place: reference, options, start, end, inline, and error where an option is unknown or unread; no tag is sought within another."""
+    out, at = [], 0
+    while opening := _OPENING.search(text, at):
+        mark = opening[0][0]
+        made = {"{": _short, "[": _attributes, "`": _fenced}[mark](text, opening.end())
+        if made is None:
+            at = opening.start() + 1
+            continue
+        at, reference, options, error = made
         unknown = sorted(k for k in options if k not in OPTIONS and k.partition(".")[0] not in _MARKS)
-        error = "no reference" if not ref else f"unknown option {unknown[0]}" if unknown else None
-        out.append({"reference": ref.strip(), "options": options, "start": m.start(), "end": m.end(), "inline": inline, "error": error})
+        error = "no reference" if not reference else error or (f"unknown option {unknown[0]}" if unknown else None)
+        out.append({"reference": reference, "options": options, "start": opening.start(), "end": at, "inline": mark == "{", "error": error})
     return out
 
 
@@ -59,26 +101,32 @@ def mark_spans(text: str, spans: list[tuple[str, str]]) -> str:
     """Put marks around spans given as (``first words .. last words``, style).
 
     Anchors are matched in the normal form.  One that is not there, or spans that
-    overlap, are errors.
+    overlap, are errors.  Every place of the text gets the mark of the span it lies
+    in, and one pass writes a mark wherever that changes.
     """
     folded, places = _folded_places(text)
-    cuts = []
-    for span, style in spans:
-        head, dots, tail = span.partition("..")
-        head, tail = fold_text(head), fold_text(tail if dots else head)
-        first = folded.find(head)
-        last = folded.find(tail, first) if first >= 0 else -1
-        if not head or not tail or last < 0:
+    inside = [0] * (len(text) + 1)  # number of the span that holds a place, 0 for none
+    for number, (span, _) in enumerate(spans, 1):
+        head, _, tail = (fold_text(part) for part in span.partition(".."))
+        opening = folded.find(head) if head else -1
+        closing = folded.find(tail or head, opening) if opening >= 0 else -1
+        if closing < 0 or (".." in span and not tail):
             raise ValueError(f"span not found: {span}")
-        cuts.append((places[first], places[last + len(tail) - 1] + 1, _MARKS[style]))
-    cuts.sort()
-    if any(b[0] < a[1] for a, b in zip(cuts, cuts[1:], strict=False)):
-        raise ValueError("spans overlap")
-    for a, b, mark in reversed(cuts):
-        while b < len(text) and not fold_text(text[b]) and not text[b].isspace():
-            b += 1
-        text = f"{text[:a]}{mark}{text[a:b]}{mark}{text[b:]}"
-    return text
+        held = range(places[opening], places[closing + len(tail or head) - 1] + 1)
+        if any(inside[k] for k in held):
+            raise ValueError("spans overlap")
+        for k in held:
+            inside[k] = number
+    out, now = [], 0
+    for k, c in enumerate(text):
+        number = inside[k]
+        if now and not number and not c.isspace() and not fold_text(c):
+            number = now  # marks that combine with the letter before them
+        if number != now:
+            out += [_MARKS[spans[n - 1][1]] for n in (now, number) if n]
+            now = number
+        out.append(c)
+    return "".join([*out, _MARKS[spans[now - 1][1]] if now else ""])
 
 
 def tags(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

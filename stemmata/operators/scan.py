@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,25 +47,26 @@ def _scored(bits: dict[str, float], min_run: int):
 
 
 def _resolved(rows):
-    """Best first, a finding that claims no words another holds is kept; near ties become alternates."""
-    rows = rows.sort_values(["similarity", "first", "item_id"], ascending=[False, True, True])
-    kept: list[list] = []
-    for r in rows.itertuples(index=False):
-        holder = next((k for k in kept if _claims(k[0], r)), None)
-        if holder is None:
-            kept.append([r, []])
-        elif holder[0].similarity - r.similarity <= TIE and r.item_id != holder[0].item_id and r.item_id not in holder[1]:
-            holder[1].append(r.item_id)
-    out = pd.DataFrame([k[0] for k in kept], columns=rows.columns)
-    return out.assign(alternates=[k[1] for k in kept])
-
-
-def _claims(winner, other) -> bool:
-    """Any overlap for the same item; more than half of the shorter span for different ones."""
-    shared = min(winner.after, other.after) - max(winner.first, other.first)
-    if shared <= 0:
-        return False
-    return winner.item_id == other.item_id or 2 * shared > min(winner.after - winner.first, other.after - other.first)
+    """The findings that no better one accounts for, with the items that came near as alternates.
+
+    Findings are settled from the best down against the spans that stand by then:
+    one of the same item accounts for any overlap, one of another item if it holds
+    more than half of the shorter span.
+    """
+    rows = rows.sort_values(["similarity", "first", "item_id"], ascending=[False, True, True], ignore_index=True)
+    first, after, item, near = (rows[c].to_numpy() for c in ("first", "after", "item_id", "similarity"))
+    standing = np.zeros(len(rows), bool)
+    rivals: dict[int, list[int]] = {}
+    for k in range(len(rows)):
+        held = np.flatnonzero(standing[:k])
+        common = np.minimum(after[held], after[k]) - np.maximum(first[held], first[k])
+        enough = np.where(item[held] == item[k], 0, np.minimum(after[held] - first[held], after[k] - first[k]) / 2)
+        by = held[(common > 0) & (common > enough)]
+        if not len(by):
+            standing[k], rivals[k] = True, []
+        elif item[k] != item[by[0]] and near[by[0]] - near[k] <= TIE:
+            rivals[by[0]].append(int(item[k]))
+    return rows[standing].assign(alternates=[list(dict.fromkeys(r)) for r in rivals.values()])
 
 
 def scan(docs: DataFrame, items: DataFrame, min_run: int = 3, common: float = 0.1) -> DataFrame:

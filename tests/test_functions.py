@@ -18,6 +18,7 @@ BOOKS = references.Books({"Luke": ["LUK"], "1 Timothy": ["1TI"], "1 Tim": ["1TI"
     ("Jude 5-7", [("JUD", "1", 5, "", "1", 7, "")], "ok"),
     ("Psalms 23", [("PSA", "23", 1, "", "23", 6, "")], "ok"),
     ("Esther C:12-30", [("EST", "C", 12, "", "C", 30, "")], "ok"),
+    ("1 Tim. 3:16a; 4:1", [("1TI", "3", 16, "a", "3", 16, "a"), ("1TI", "4", 1, "", "4", 1, "")], "ok"), ("Luke 2:42 x", [], "unread"), ("Luke 2:", [], "unread"),
     ("Luke 3", [], "needs a verse"), ("Esdras 1:1", [], "ambiguous"), ("Nobody 1:1", [], "unknown"), ("Luke 3:9-2", [], "out of order"), ("", [], "unread"),
 ])
 def test_references(text, ranges, status):
@@ -46,6 +47,14 @@ def test_tags():
     assert found[0]["options"] == {"en": "ASV"}
 
 
+def test_tags_within_tags_and_options_between_bars():
+    text = "{{Sir 24:1-9 | en=DRA | original=hebrew lxx}} {{a\nb}} {{ | en=x}}\n```passage\nref: {{Luke 1:1}}\n```\n[passage='Ps 3:1' en=ASV] [passage=\"Ps 4\" {{Ps 5}}"
+    found = render.citations(text)
+    assert [(f["reference"], f["options"], f["error"]) for f in found] == [
+        ("Sir 24:1-9", {"en": "DRA", "original": "hebrew lxx"}, None), ("", {"en": "x"}, "no reference"), ("{{Luke 1:1}}", {}, None), ("Ps 3:1", {"en": "ASV"}, None), ("Ps 5", {}, None)]
+    assert all(text[f["start"] : f["end"]][0] in "{[`" for f in found)
+
+
 def test_marked_spans():
     assert render.mark_spans("When he was Twélve  years old", [("twelve .. old", "bold")]) == "When he was **Twélve  years old**"
     with pytest.raises(ValueError, match="not found"):
