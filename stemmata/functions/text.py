@@ -41,19 +41,29 @@ _MARKED, _BARE = _bases()
 _LIGATURES = {"æ": "ae", "œ": "oe", "ﬁ": "fi", "ﬂ": "fl"}
 
 
-def fold(text: Column, language: str | None = None) -> Column:
-    """The normal form of a text column; ``la`` also reads j as i, v as u, and drops square brackets."""
+def _letters(text: Column, language: str | None) -> Column:
+    """The normal form but for white space."""
     folded = F.translate(F.lower(text), _MARKED + "ς", _BARE + "σ")
     for ligature, letters in _LIGATURES.items():
         folded = F.replace(folded, F.lit(ligature), F.lit(letters))
     if language == "la":
         folded = F.translate(folded, "jv[]", "iu")
-    return F.trim(F.regexp_replace(folded, r"\s+", " "))
+    return folded
+
+
+def fold(text: Column, language: str | None = None) -> Column:
+    """The normal form of a text column; ``la`` also reads j as i, v as u, and drops square brackets."""
+    return F.trim(F.regexp_replace(_letters(text, language), r"\s+", " "))
 
 
 def tokens(text: Column, language: str | None = None) -> Column:
     """Search tokens: runs of letters and digits of the normal form."""
-    return F.regexp_extract_all(fold(text, language), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(_letters(text, language), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def once(made: Column) -> Column:
+    """``made`` as a generator's output, so that filters on it are not pushed below and do not evaluate it again."""
+    return F.explode(F.array(made))
 
 
 def ngram_tokens(text: Column, language: str | None = None) -> Column:

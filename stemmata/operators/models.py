@@ -27,6 +27,18 @@ def ngrams(rows: DataFrame, author: str, orders: int = ORDERS) -> DataFrame:
     return each.unionByName(pooled)
 
 
+def two_models(rows: DataFrame, own: Column, order: int) -> DataFrame:
+    """gram, ours and theirs: how often each gram of ``order`` tokens stands in rows that are ``own`` and in the others, counted in one pass."""
+    grams = rows.filter(F.size("t") >= order).select(own.alias("own"), F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - order + 1), lambda i: F.array_join(F.slice("t", i, F.lit(order)), " "))).alias("gram"))
+    return grams.groupBy("gram").agg(F.count_if("own").alias("ours"), F.count_if(~F.col("own")).alias("theirs"))
+
+
+def one_model(both: DataFrame, side: str, order: int) -> DataFrame:
+    """One side of :func:`two_models` as ord, gram, count and tokens (the side's total)."""
+    total = both.agg(F.sum(side).alias("tokens"))
+    return both.filter(F.col(side) > 0).select(F.lit(order).alias("ord"), "gram", F.col(side).alias("count")).crossJoin(F.broadcast(total))
+
+
 def totals(counts: DataFrame) -> DataFrame:
     """author, ord and number of grams, taken before any pruning."""
     return counts.groupBy("author", "ord").agg(F.sum("count").alias("tokens"))
@@ -169,13 +181,19 @@ def delta_markers(ours: DataFrame, theirs: DataFrame, limit: int = 150) -> DataF
 
 
 def rolling_delta(windows: DataFrame, key: list[str], markers: DataFrame) -> DataFrame:
-    """Mean over markers of how much nearer a window's usage is to ``ours`` than to ``theirs``."""
+    """Mean over markers of how much nearer a window's usage is to ``ours`` than to ``theirs``.
+
+    A marker that a window lacks adds the same to every window; so that sum is
+    taken once, and only markers that occur are joined, with what they change.
+    """
     n = F.size("t")
-    used = windows.filter(n > 0).select(*key, n.alias("n"), F.explode("t").alias("gram")).groupBy(*key, "n", "gram").agg((F.count("*") / F.col("n")).alias("rate"))
-    every = windows.filter(n > 0).select(*key).distinct().crossJoin(F.broadcast(markers))
-    joined = every.join(used.select(*key, "gram", "rate"), [*key, "gram"], "left").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
-    toward = (F.abs(F.col("rate") - F.col("their_rate")) - F.abs(F.col("rate") - F.col("our_rate"))) / F.col("scale")
-    return joined.groupBy(*key).agg(F.round(F.avg(toward), 6).alias("delta"))
+    nearer = lambda rate: (F.abs(rate - F.col("their_rate")) - F.abs(rate - F.col("our_rate"))) / F.col("scale")
+    absent = markers.agg(F.sum(nearer(F.lit(0.0))).alias("base"), F.count("*").alias("markers"))
+    words = windows.filter(n > 0).select(*key, n.alias("n"), F.explode("t").alias("gram")).join(F.broadcast(markers), "gram")
+    used = words.groupBy(*key, "n", "gram", "our_rate", "their_rate", "scale").agg(F.count("*").alias("c"))
+    changed = used.groupBy(*key).agg(F.sum(nearer(F.col("c") / F.col("n")) - nearer(F.lit(0.0))).alias("change"))
+    every = windows.filter(n > 0).select(*key).join(changed, key, "left").crossJoin(F.broadcast(absent))
+    return every.select(*key, F.round((F.col("base") + F.coalesce("change", F.lit(0.0))) / F.col("markers"), 6).alias("delta"))
 
 
 def bin_of(value: Column, edges: list[float]) -> Column:

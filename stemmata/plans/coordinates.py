@@ -77,12 +77,12 @@ def convert_covering(spark, sf):
     return coords.convert_covering(v, covers, by, grid(spark, sf)).select("book", "chapter", "verse", "t_verse", "status")
 
 
-RANGES = f"{GRID}, r as (select chapter as id, book, chapter, cast(2 as bigint) as verse, chapter + 7 as end_chapter, cast(3 as bigint) as end_verse from g where chapter % 10 = 1)"
+RANGES = f"{GRID}, r as (select chapter as id, book, chapter, cast(2 as bigint) as verse, chapter + 7 as end_chapter, cast(3 as bigint) as end_verse from g)"
 
 
-def _ranges(spark, sf, of="chapter % 10 = 1"):
+def _ranges(spark, sf):
     two, three = F.lit(2).cast("long"), F.lit(3).cast("long")
-    return grid(spark, sf).filter(of).select(F.col("chapter").alias("id"), "book", "chapter", two.alias("verse"), (F.col("chapter") + 7).alias("end_chapter"), three.alias("end_verse"))
+    return grid(spark, sf).select(F.col("chapter").alias("id"), "book", "chapter", two.alias("verse"), (F.col("chapter") + 7).alias("end_chapter"), three.alias("end_verse"))
 
 
 @query(f"with {RANGES}, e as (select r.id, r.book, g.chapter, case when g.chapter = r.chapter then r.verse else 1 end as lo, case when g.chapter = r.end_chapter then least(r.end_verse, last) else last end as hi from r join g on g.book = r.book and g.chapter between r.chapter and r.end_chapter) select id, book, chapter, unnest(range(lo, hi + 1)) as verse from e where lo <= hi")
@@ -90,12 +90,6 @@ def expand_ranges(spark, sf):
     return coords.expand(_ranges(spark, sf), grid(spark, sf), "id")
 
 
-@query(None)
-def expand_ranges_whole(spark, sf):
-    """The range from every chapter; the SQL of ``expand_ranges`` takes every tenth."""
-    return coords.expand(_ranges(spark, sf, "true"), grid(spark, sf), "id")
-
-
 @query(f"with {VERSES}, k as (select * from v where (chapter + verse) % 4 <> 0), i as (select *, verse - row_number() over (partition by book, chapter order by verse) as island from k) select book, chapter, min(verse) as first, max(verse) as last from i group by book, chapter, island")
 def coalesce_ranges(spark, sf):
     held = verses(spark, sf).filter("(chapter + verse) % 4 <> 0").withColumn("all", F.lit(0))

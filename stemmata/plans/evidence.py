@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from stemmata.functions import phrases, references, stem
 from stemmata.functions.text import tokens
 from stemmata.operators import audit, index, knowledge, models, render, retrieve, scan
-from stemmata.plans.coordinates import EDITIONS, TURNS, _editions, _turn_scores
+from stemmata.plans.coordinates import EDITIONS, TURNS, VERDICTS, _editions, _turn_scores
 from stemmata.plans.registry import query
-from stemmata.plans.statistics import _register
-from stemmata.plans.text_reuse import DF, SWEEP, B, docs, items
+from stemmata.plans.text_reuse import DF, SWEEP, B, D, docs, items
 from stemmata.session import ship
 from stemmata.tables import table
 
@@ -90,33 +89,18 @@ def alignment_grid(spark, sf):
     return grid.select("pivot.book", "pivot.chapter", "pivot.verse", *[F.coalesce(F.size(s), F.lit(0)).alias(s) for s in ("e0", "e1", "e2")])
 
 
-@query(None)
-def rolling_delta(spark, sf):
-    swept, own, other = _register(spark, sf)
-    return models.rolling_delta(swept, ["doc_id", "offset"], models.delta_markers(own, other))
-
-
 @query("with r as (select l_orderkey as k, 's' || l_suppkey as source, max(l_linenumber) as priority, max(round(l_discount * 10, 2)) as score from lineitem group by all), t as (select *, row_number() over (partition by k order by priority, source) as n from r), u as (select * from t where n <= 3), a as (select k, min(n) filter (score >= 0.86) as f, max_by(n, struct_pack(s := score, n := -n)) as best from u group by k) select a.k, u.source, u.score, f is not null as decisive, cast(coalesce(f, 3) as int) as charged from a join u on u.k = a.k and u.n = coalesce(f, best)")
 def local_resolution(spark, sf):
     rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source")).agg(F.max("l_linenumber").alias("priority"), F.max(F.round(F.col("l_discount") * 10, 2)).alias("score"))
     return scan.resolve_locally(rows.select("k").distinct(), rows, ["k"])
 
 
-GEST = f"{TURNS}, g as (select distinct conv_id, unnest(t) as token from c where turn = 0), ca as (select distinct conv_id as target, unnest(t) as token from c where turn = 1), wt as (select token, round(log2(1000.0 / (count(*) + 1)), 6) as bits from ca group by token having count(*) <= 5), sh as (select g.conv_id, target, round(sum(bits), 4) as bits, max((target % 4 = 0)::int) as quoted from g join ca using (token) join wt using (token) group by all), nr as (select *, max(bits) over (partition by conv_id) as top from sh)"
+GEST = f"{TURNS}, g as (select distinct conv_id, unnest(t) as token from c where turn = 0), ca as (select distinct conv_id as target, unnest(t) as token from c where turn = 1), tt as (select count(distinct target) as total from ca), wt as (select token, round(greatest(0.0, log2(total / (count(*) + 1))), 6) as bits from ca, tt group by token, total), sh as (select g.conv_id, target, (cast(sum(cast(round(bits * 1000000) as bigint)) as bigint) + 50) // 100 as bits, max((target % 4 = 0)::int) as quoted from g join ca using (token) join wt using (token) group by all), nr as (select *, max(bits) over (partition by conv_id) as top from sh)"
 
 
-@query(f"with {GEST} select conv_id, target, bits, quoted from (select *, row_number() over (partition by conv_id order by quoted desc, bits desc, target) as k from nr where top - bits <= 2.0) where k = 1")
+@query(f"with {GEST} select conv_id, target, bits / 10000.0 as bits, quoted from (select *, row_number() over (partition by conv_id order by quoted desc, bits desc, target) as k from nr where top - bits <= 20000) where k = 1")
 def allusions(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    gestures = rows.filter("turn = 0").select("conv_id", F.explode("t").alias("token"))
-    candidates = rows.filter("turn = 1").select(F.col("conv_id").alias("target"), F.explode("t").alias("token"), (F.col("conv_id") % 4 == 0).cast("int").alias("quoted")).distinct()
-    weights = candidates.groupBy("token").agg(F.count("*").alias("n")).filter("n <= 5").select("token", F.round(F.log2(F.lit(1000.0) / (F.col("n") + 1)), 6).alias("bits"))
-    return knowledge.allusions(gestures, candidates, weights, "conv_id")
-
-
-@query(None)
-def allusions_whole(spark, sf):
-    """Every shared word counts by its bits among the candidates of the table; the SQL of ``allusions`` keeps words of at most 5."""
+    """First turns as gestures, second turns as candidates; every shared word counts by its bits."""
     rows = table(spark, sf, "conversations").select("conv_id", "turn", tokens(F.coalesce("text", F.lit(""))).alias("t"))
     gestures = rows.filter("turn = 0").select("conv_id", F.explode("t").alias("token"))
     candidates = rows.filter("turn = 1").select(F.col("conv_id").alias("target"), F.explode("t").alias("token"), (F.col("conv_id") % 4 == 0).cast("int").alias("quoted")).distinct()
@@ -126,17 +110,17 @@ def allusions_whole(spark, sf):
     return knowledge.allusions_in_blocks(gestures, candidates, weights, "conv_id")
 
 
-@query(None)
+@query(f"with {D}, w as (select doc_id, len(t) as n, ' ' || array_to_string(t, '  ') || ' ' as s from d where len(t) > 0), x as (select doc_id, n, (length(s) - length(replace(replace(replace(replace(s, ' that  the ', ''), ' of  the ', ''), ' the ', ''), ' and ', ''))) as gone, (length(s) - length(replace(s, ' that  the ', ''))) // 11 * 2 + (length(replace(s, ' that  the ', '')) - length(replace(replace(s, ' that  the ', ''), ' of  the ', ''))) // 9 * 2 + (length(replace(replace(s, ' that  the ', ''), ' of  the ', '')) - length(replace(replace(replace(s, ' that  the ', ''), ' of  the ', ''), ' the ', ''))) // 5 + (length(replace(replace(replace(s, ' that  the ', ''), ' of  the ', ''), ' the ', '')) - length(replace(replace(replace(replace(s, ' that  the ', ''), ' of  the ', ''), ' the ', ''), ' and ', ''))) // 5 as covered from w) select doc_id, round(covered / n, 6) as share from x")
 def stoplist_cover(spark, sf):
     ship(spark)
     common = [["that", "the"], ["of", "the"], ["the"], ["and"]]
-    return docs(spark, sf).filter(F.size("t") > 0).select("doc_id", phrases.covered_udf(common)("t").alias("share"))
+    return docs(spark, sf).filter(F.size("t") > 0).select("doc_id", F.round(phrases.covered_udf(common)("t"), 6).alias("share"))
 
 
 @query(None)
 def stemmed_tokens(spark, sf):
     ship(spark)
-    return docs(spark, sf).filter("lang = 'en'").select("doc_id", F.array_join(stem.stems("t"), " ").alias("stems"))
+    return docs(spark, sf).select("doc_id", F.array_join(stem.stems("t"), " ").alias("stems"))
 
 
 @query(None)
@@ -155,6 +139,6 @@ def rendered_documents(spark, sf):
     return render.render(rows, render.tags(rows), passages)
 
 
-@query(None)
+@query(f"with {VERDICTS}, i as (select *, verse - row_number() over (partition by conv_id, \"offset\" order by verse) as island from a where verdict = 'contradict') select conv_id, \"offset\", min(verse) as first, max(verse) as last, count(*) as n from i group by conv_id, \"offset\", island having count(*) >= 2")
 def flagged_runs(spark, sf):
     return audit.contradicted_runs(audit.agreement(_turn_scores(spark, sf), ["conv_id"]), ["conv_id"], least=2, by_offset=True)

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.functions.text import ngram_tokens, tokens
+from stemmata.functions.text import ngram_tokens, once
 from stemmata.operators import models, retrieve
 from stemmata.plans.registry import query
-from stemmata.plans.text_reuse import FOLD, SWEEP, docs, items
+from stemmata.plans.text_reuse import D, FOLD, docs
 from stemmata.tables import table
 
-G = f"g0 as (select doc_id, source, list_filter(string_split({FOLD.format('text')}, ' '), lambda w: w <> '') as t from documents where lang = 'fr')"
+G = f"g0 as (select doc_id, source, list_filter(string_split({FOLD.format('text')}, ' '), lambda w: w <> '') as t from documents)"
 NG = f"""{G}, og as (select source as author, t, unnest([1, 2, 3, 4, 5]) as ord from g0),
 gr as (select author, ord, array_to_string(t[i : i + ord - 1], ' ') as gram from (select *, unnest(range(1, len(t) - ord + 2)) as i from og where len(t) >= ord)),
 c1 as (select author, ord, gram, count(*) as count from gr group by all), cnt as (select * from c1 union all select '', ord, gram, cast(sum(count) as bigint) from c1 group by ord, gram),
 tot as (select author, ord, cast(sum(count) as bigint) as tokens from cnt group by all), pr as (select * from cnt where ord < 3 or count >= 2)"""
 
 
-def _model_rows(spark: SparkSession, sf: str, of: str = "lang = 'fr'") -> DataFrame:
-    return table(spark, sf, "documents").filter(of).select("doc_id", "source", ngram_tokens(F.col("text")).alias("t"))
+def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "source", once(ngram_tokens(F.coalesce("text", F.lit("")))).alias("t"))
 
 
 @query(f"with {NG} select author, cast(ord as int) as ord, gram, count from pr")
@@ -49,40 +49,7 @@ def peak_rate(spark, sf):
     return models.peak_rates(rows, "doc_id", rated).withColumn("peak", F.round("peak", 2))
 
 
-# The SQL above and below is of one language's documents; the queries named _whole take every document, and have no SQL.
-
-
-@query(None)
-def ngram_counts_whole(spark, sf):
-    return models.pruned(models.ngrams(_model_rows(spark, sf, "true"), "source"))
-
-
-@query(None)
-def ngram_totals_whole(spark, sf):
-    return models.totals(models.ngrams(_model_rows(spark, sf, "true"), "source"))
-
-
-@query(None)
-def ngram_rates_whole(spark, sf):
-    counts = models.ngrams(_model_rows(spark, sf, "true"), "source")
-    rated = models.rates(models.pruned(counts).filter("author = ''"), models.totals(counts))
-    return rated.withColumn("rate", F.floor("rate").cast("double"))
-
-
-@query(None)
-def peak_rate_whole(spark, sf):
-    rows = _model_rows(spark, sf, "true")
-    counts = models.ngrams(rows, "source")
-    rated = models.rates(models.pruned(counts).filter("author = ''"), models.totals(counts))
-    return models.peak_rates(rows, "doc_id", rated).withColumn("peak", F.round("peak", 2))
-
-
-@query(None)
-def ppmi_pairs_whole(spark, sf):
-    return _ppmi(spark, sf, "true")
-
-
-PP = f"""d as (select doc_id, regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}]+') as t from documents where lang = 'de'),
+PP = f"""d as (select doc_id, regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}]+') as t from documents),
 w as (select unnest(t) as w, count(*) as c from d group by 1 having count(*) >= 10), p as (select doc_id, unnest(t) as a, unnest(range(0, len(t))) as i from d),
 ah as (select a, b, count(*) as n from (select p.a, unnest(d.t[p.i + 2 : p.i + 6]) as b from p join d using (doc_id)) group by all),
 k as (select * from ah where a in (select w from w) and b in (select w from w)), b2 as (select a, b, sum(n) as n from (select a, b, n from k union all select b, a, n from k) group by all),
@@ -90,9 +57,8 @@ m as (select a, sum(n) as m from b2 group by a), tt as (select sum(m) as total f
 sc as (select b2.a, b2.b, n, round(log2(n * total / (x.m * y.m)), 4) as weight from b2 join m x on x.a = b2.a join m y on y.a = b2.b, tt)"""
 
 
-def _ppmi(spark, sf, of="lang = 'de'"):
-    rows = table(spark, sf, "documents").filter(of).select("doc_id", tokens(F.col("text")).alias("t"))
-    return models.ppmi(rows, "doc_id")
+def _ppmi(spark, sf):
+    return models.ppmi(docs(spark, sf).select("doc_id", "t"), "doc_id")
 
 
 @query(f"with {PP} select a, b, cast(n as bigint) as n, weight from (select *, row_number() over (partition by a order by weight desc, b) as r from sc where weight > 0) where r <= 200")
@@ -100,35 +66,23 @@ def ppmi_pairs(spark, sf):
     return _ppmi(spark, sf)
 
 
-@query(f"""with {PP}, v as (select a, b, weight from (select *, row_number() over (partition by a order by weight desc, b) as r from sc where weight > 0) where r <= 200), f as (select a from (select a from v group by a having count(*) >= 20) order by a limit 30),
-pr as (select x.a as x, y.a as y from f x, f y where x.a < y.a), nm as (select a, sqrt(sum(weight * weight)) as norm from v group by a), dt as (select pr.x, pr.y, sum(p.weight * q.weight) as dot from pr join v p on p.a = pr.x join v q on q.a = pr.y and q.b = p.b group by all)
-select pr.x, pr.y, round(coalesce(dot / (p.norm * q.norm), 0.0), 4) as cosine from pr join nm p on p.a = pr.x join nm q on q.a = pr.y left join dt on dt.x = pr.x and dt.y = pr.y""")
-def ppmi_cosine(spark, sf):
-    held = _ppmi(spark, sf)
-    few = held.groupBy("a").count().filter("count >= 20").orderBy("a").limit(30).select("a")
-    pairs = few.select(F.col("a").alias("x")).join(F.broadcast(few.select(F.col("a").alias("y"))), F.col("x") < F.col("y"))
-    return models.sparse_cosine(held, pairs)
-
-
 @query(None)
-def ppmi_cosine_whole(spark, sf):
-    """Every pair of words of the whole model that share a dimension; the SQL of ``ppmi_cosine`` takes the first 30 words."""
-    return models.shared_cosines(_ppmi(spark, sf, "true"))
+def ppmi_cosine(spark, sf):
+    """Every pair of words of the model that share a dimension."""
+    return models.shared_cosines(_ppmi(spark, sf))
 
 
-REG = f"""{SWEEP.replace(' from documents', " from documents where lang = 'es'")}, mx as (select lang = 'es' as own, regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}]+') as t from documents where lang in ('es', 'en')),
-m3 as (select own, gram, count(*) as count from (select own, array_to_string(t[i : i + 2], ' ') as gram from (select *, unnest(range(1, len(t) - 1)) as i from mx where len(t) >= 3)) group by all), mt as (select own, sum(count) as tokens from m3 group by own),
-wg as (select doc_id, \"offset\", array_to_string(w[i : i + 2], ' ') as gram from (select doc_id, \"offset\", w, unnest(range(1, len(w) - 1)) as i from (select doc_id, \"offset\", t[\"offset\" + 1 : \"offset\" + 12] as w from o) where len(w) >= 3)),
-x as (select doc_id, \"offset\", sum(log2((coalesce(a.count, 0) / ta.tokens + 0.5 / greatest(ta.tokens, tb.tokens)) / (coalesce(b.count, 0) / tb.tokens + 0.5 / greatest(ta.tokens, tb.tokens)))) as llr from wg left join m3 a on a.own and a.gram = wg.gram left join m3 b on not b.own and b.gram = wg.gram, (select tokens from mt where own) ta, (select tokens from mt where not own) tb group by all)"""
+REG = f"""{D}, o as (select doc_id, t, unnest(range(0, len(t) - 11, 6)) as \"offset\" from d where len(t) >= 12),
+m3 as (select gram, sum(own::int) as ours, sum((not own)::int) as theirs from (select lang = 'es' as own, array_to_string(t[i : i + 2], ' ') as gram from (select lang, t, unnest(range(1, len(t) - 1)) as i from d where len(t) >= 3)) group by gram), mt as (select sum(ours) as ta, sum(theirs) as tb from m3),
+wg as (select doc_id, \"offset\", array_to_string(t[\"offset\" + i : \"offset\" + i + 2], ' ') as gram from (select *, unnest(range(1, 11)) as i from o)),
+x as (select doc_id, \"offset\", round(sum(log2((ours / ta + 0.5 / greatest(ta, tb)) / (theirs / tb + 0.5 / greatest(ta, tb)))), 4) as llr from wg join m3 using (gram), mt group by all)"""
 
 
 def _register(spark, sf):
+    """Windows of all documents, without a closing tail, and counts of 3-grams of Spanish documents and of all others."""
     rows = docs(spark, sf)
-    own = models.ngrams(rows.filter("lang = 'es'").select("t", F.lit("o").alias("author")), "author", 3).filter("author <> ''")
-    other = models.ngrams(rows.filter("lang = 'en'").select("t", F.lit("e").alias("author")), "author", 3).filter("author <> ''")
-    model = lambda m: m.join(models.totals(m), ["author", "ord"])
-    swept = retrieve.sweep(rows.filter("lang = 'es'"), "doc_id")
-    return swept, model(own), model(other)
+    both = models.two_models(rows, F.col("lang") == "es", 3)
+    return retrieve.sweep(rows, "doc_id", tail=False), models.one_model(both, "ours", 3), models.one_model(both, "theirs", 3)
 
 
 @query(f"with {REG} select doc_id, cast(\"offset\" as int) as \"offset\", round(llr, 4) as llr from x")
@@ -137,22 +91,34 @@ def register_llr(spark, sf):
     return models.evidence(swept, ["doc_id", "offset"], own, other)
 
 
-@query(None)
+@query(f"""with {REG}, n as (select *, row_number() over (partition by doc_id order by \"offset\") as k from x), i as (select *, k - row_number() over (partition by doc_id order by \"offset\") as island from n where llr > 0)
+select doc_id, cast(min(\"offset\") as int) as first, cast(max(\"offset\") + 12 as int) as after, max(llr) as peak, cast(arg_max(\"offset\", struct_pack(a := llr, b := -\"offset\")) as int) as peak_at, count(*) as windows from i group by doc_id, island""")
 def register_spans(spark, sf):
     swept, own, other = _register(spark, sf)
     return models.evidence_spans(models.evidence(swept, ["doc_id", "offset"], own, other), ["doc_id"])
 
 
-MK = f"""mx as (select lang, regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}]+') as t from documents where lang in ('es', 'fr')), u as (select lang, unnest(t) as gram from mx), uc as (select lang, gram, count(*) as c from u group by all), ut as (select lang, sum(c) as n from uc group by lang),
-b as (select gram, c, c / n as their_rate from uc join ut using (lang) where lang = 'fr' order by c desc, gram limit 300), mk as (select b.gram, a.c / t.n as our_rate, their_rate, (a.c / t.n + their_rate) / 2 as scale, b.c from b join uc a on a.gram = b.gram and a.lang = 'es' join ut t on t.lang = 'es' order by b.c desc, b.gram limit 150)"""
+MK = f"""{D}, u as (select lang = 'es' as own, unnest(t) as gram from d), uc as (select own, gram, count(*) as c from u group by all), ut as (select own, sum(c) as n from uc group by own),
+b as (select gram, c, c / n as their_rate from uc join ut using (own) where not own order by c desc, gram limit 300), mk as (select b.gram, round(a.c / t.n, 8) as our_rate, round(their_rate, 8) as their_rate, round((a.c / t.n + their_rate) / 2, 8) as scale, b.c from b join uc a on a.gram = b.gram and a.own join ut t on t.own order by b.c desc, b.gram limit 150)"""
 
 
-@query(f"with {MK} select gram, round(our_rate, 8) as our_rate, round(their_rate, 8) as their_rate, round(scale, 8) as scale from mk")
+def _markers(spark, sf):
+    both = models.two_models(docs(spark, sf), F.col("lang") == "es", 1)
+    return models.delta_markers(models.one_model(both, "ours", 1), models.one_model(both, "theirs", 1))
+
+
+@query(f"with {MK} select gram, our_rate, their_rate, scale from mk")
 def delta_markers(spark, sf):
-    rows = docs(spark, sf)
-    one = lambda lang: models.ngrams(rows.filter(F.col("lang") == lang).select("t", F.lit(lang).alias("author")), "author", 1).filter("author <> ''")
-    model = lambda m: m.join(models.totals(m), ["author", "ord"])
-    return models.delta_markers(model(one("es")), model(one("fr")))
+    return _markers(spark, sf)
+
+
+@query(f"""with {MK}, o as (select doc_id, t, unnest(range(0, len(t) - 11, 6)) as \"offset\" from d where len(t) >= 12), w as (select doc_id, \"offset\", unnest(t[\"offset\" + 1 : \"offset\" + 12]) as gram from o), r as (select doc_id, \"offset\", gram, count(*) / 12.0 as rate from w group by all),
+zero as (select sum((their_rate - our_rate) / scale) as base, count(*) as n from mk),
+h as (select doc_id, \"offset\", sum((abs(rate - their_rate) - abs(rate - our_rate) - (their_rate - our_rate)) / scale) as more from r join mk using (gram) group by all)
+select doc_id, cast(o.\"offset\" as int) as \"offset\", round((base + coalesce(more, 0)) / n, 6) as delta from o left join h using (doc_id, \"offset\"), zero""")
+def rolling_delta(spark, sf):
+    swept = retrieve.sweep(docs(spark, sf), "doc_id", tail=False)
+    return models.rolling_delta(swept, ["doc_id", "offset"], _markers(spark, sf))
 
 
 EV = f"ev as (select doc_id, quality as truth, len(string_split(text, ' ')) as words, len(regexp_extract_all(text, '[A-Z]')) * 100.0 / greatest(1, length(text)) as caps from documents join labels using (doc_id))"
@@ -220,17 +186,8 @@ def null_quantiles(spark, sf):
 COS = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::double * b.embedding[i]::double)) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x::double)) * list_sum(list_transform(b.embedding, lambda x: x::double * x::double)))"
 
 
-@query(f"with q as (select * from embeddings where vec_id < 20), s as (select a.vec_id as query_id, b.vec_id, round({COS}, 4) as cosine from q a join embeddings b on a.vec_id <> b.vec_id) select query_id, vec_id, cosine from (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as r from s) where r <= 5")
+@query(f"with q as (select * from embeddings where vec_id % 50 = 0), s as (select a.vec_id as query_id, b.vec_id, round({COS}, 4) as cosine from q a join embeddings b on a.vec_id <> b.vec_id) select query_id, vec_id, cosine from (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as r from s) where r <= 5")
 def cosine_topk(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = F.broadcast(rows.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    scored = rows.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(models.dense_cosine(F.col("q"), F.col("embedding")), 4).alias("cosine"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return scored.withColumn("r", F.row_number().over(order)).filter("r <= 5").drop("r")
-
-
-@query(None)
-def cosine_topk_whole(spark, sf):
-    """Queries are the ids divisible by 50, at any size; the SQL of ``cosine_topk`` asks the ids below 20 only."""
+    """Queries are the ids divisible by 50, at any size."""
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return models.dense_topk(rows, rows.filter("vec_id % 50 = 0"), 5).drop("rank")

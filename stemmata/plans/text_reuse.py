@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.functions.text import fold, ngram_tokens, scaled_run, tokens
+from stemmata.functions.text import fold, ngram_tokens, once, scaled_run, tokens
 from stemmata.operators import index, retrieve, runs, windows
 from stemmata.plans.registry import query
 from stemmata.tables import table
@@ -18,11 +18,11 @@ B = f"b as (select item_id, {TOKENS.format('text')} as t from benchmark)"
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "source", "lang", tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", "source", "lang", once(tokens(F.coalesce("text", F.lit("")))).alias("t"))
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    return table(spark, sf, "benchmark").select("item_id", once(tokens(F.coalesce("text", F.lit("")))).alias("t"))
 
 
 @query(f"with {D} select doc_id, cast(len(t) as bigint) as n_tokens, md5(array_to_string(t, ' ')) as digest from d")
@@ -258,10 +258,10 @@ def fragmentation(spark, sf):
     return runs.fragmentation(_agreeing(spark, sf), ["doc_id", "item_id"])
 
 
-@query(f"""with {D}, {B}, w as (select * from (select distinct unnest(t) as word from b) where regexp_full_match(word, '[ -~]+')), f as (select * from (select distinct unnest(t) as form from d where lang = 'en') where regexp_full_match(form, '[ -~]+')),
+@query(f"""with {D}, {B}, w as (select * from (select distinct unnest(t) as word from b) where regexp_full_match(word, '[ -~]+')), f as (select * from (select distinct unnest(t) as form from d) where regexp_full_match(form, '[ -~]+')),
 p as (select word, form, case when length(word) <= 4 then 1 else 2 end as k, levenshtein(word, form) as distance from w join f on abs(length(word) - length(form)) <= 2 where length(word) <= 24)
 select word, form, cast(distance as int) as distance from p where distance <= k""")
 def edit_recovery(spark, sf):
     words = items(spark, sf).select(F.explode("t").alias("word")).filter(F.rlike("word", F.lit("^[ -~]+$")))
-    forms = docs(spark, sf).filter("lang = 'en'").select(F.explode("t").alias("form")).filter(F.rlike("form", F.lit("^[ -~]+$")))
+    forms = docs(spark, sf).select(F.explode("t").alias("form")).filter(F.rlike("form", F.lit("^[ -~]+$")))
     return runs.recover(words, forms)

@@ -10,7 +10,6 @@ import pytest
 
 import __spark_entry__ as entry
 from stemmata.functions import kernels
-from stemmata.llm import url_filter
 
 FILLER = " ".join(f"filler{k}" for k in range(100))
 ITEM = "seven grey herons waited beside the frozen mill until evening"
@@ -61,40 +60,6 @@ def test_rendering_keeps_and_reads_whole_texts(spark, tables):
     }
 
 
-def verdicts(spark, rows):
-    """The urls that are blocked, of (url, bad) rows and no rules."""
-    pages = spark.createDataFrame([(k, u, b) for k, (u, b) in enumerate(rows)], "page_id long, url string, bad int")
-    return {rows[r.page_id][0] for r in url_filter.filter_urls(pages, []).collect() if r.verdict == "block"}
-
-
-def test_url_purity_counts_labelled_urls_only(spark):
-    # 40 of 100 urls are labelled, all bad; another branch is as pure with fewer labels, a third has none
-    sparse = [(f"http://h.test/spam/{k}", 1 if k < 40 else None) for k in range(100)]
-    thin = [(f"http://h.test/thin/{k}", 1 if k < 5 else None) for k in range(50)]
-    none = [(f"http://h.test/none/{k}", None) for k in range(20)]
-    assert verdicts(spark, sparse + thin + none) == {u for u, _ in sparse + thin + none}
-    good = [(f"http://h.test/good/{k}", 0) for k in range(200)]
-    assert verdicts(spark, sparse + good) == {u for u, _ in sparse}
-    assert verdicts(spark, none + [("http://h.test/one/1", 1)]) == set()
-
-
-def test_url_branches_merge_below_the_first_level(spark):
-    rows = [(f"http://h.test/shop/c{c}/{k}", 1 if k < 5 else None) for c in range(20) for k in range(8)]
-    assert verdicts(spark, rows) == {u for u, _ in rows}
-    # among good siblings too, and those stay
-    good = [(f"http://h.test/shop/g{c}/{k}", 0) for c in range(10) for k in range(5)]
-    assert verdicts(spark, rows + good) == {u for u, _ in rows}
-    # equal shapes meet at a level above
-    nested = [(f"http://h.test/{a}/c{c}/{k}", 1) for a in ("shop", "sale") for c in range(2) for k in range(3)]
-    assert verdicts(spark, nested) == {u for u, _ in nested}
-
-
-def test_url_segments_are_kept_in_deep_paths(spark):
-    bad = [(f"http://h.test/a/b/c/d/e/f/spam/{k}", 1) for k in range(40)]
-    good = [(f"http://h.test/a/b/c/d/e/f/good/{k}", 0) for k in range(40)]
-    assert verdicts(spark, bad + good) == {u for u, _ in bad}
-
-
 def test_cosine_asks_every_fiftieth_id(spark, tables):
     draw = random.Random(5)
     held = {k: [float(draw.randint(-3, 3)) for _ in range(4)] for k in range(30, 260)} | {300: [0.0] * 4, 301: None, 302: [1.0]}
@@ -107,7 +72,7 @@ def test_cosine_asks_every_fiftieth_id(spark, tables):
             near = sorted((-cosine(usable[q], v), k) for k, v in usable.items() if k != q)[:5]
             want |= {(q, k, -c) for c, k in near}
     assert len(want) == 5 * sum(q % 50 == 0 for q in usable) > 15
-    assert {(r.query_id, r.vec_id, r.cosine) for r in entry.queries()["cosine_topk_whole"](spark, sf).collect()} == want
+    assert {(r.query_id, r.vec_id, r.cosine) for r in entry.queries()["cosine_topk"](spark, sf).collect()} == want
 
 
 def test_every_chapter_is_expanded(spark, tables):
@@ -119,7 +84,7 @@ def test_every_chapter_is_expanded(spark, tables):
         for c in (c for c in last if c % 7 == k % 7 and k <= c <= k + 7):
             low, high = 2 if c == k else 1, min(3, last[c]) if c == k + 7 else last[c]
             want |= {(k, c, v) for v in range(low, high + 1)}
-    got = [(r.id, r.chapter, r.verse) for r in entry.queries()["expand_ranges_whole"](spark, sf).collect()]
+    got = [(r.id, r.chapter, r.verse) for r in entry.queries()["expand_ranges"](spark, sf).collect()]
     assert set(got) == want and len(got) == len(want)
 
 
@@ -144,14 +109,14 @@ def test_ngrams_are_of_all_documents(spark, tables):
         sums[author, n] += c
     kept = {g: c for g, c in counts.items() if g[1] < 3 or c >= 2}
     run = lambda name: entry.queries()[name](spark, sf).collect()
-    assert {(r.author, r.ord, r.gram): r["count"] for r in run("ngram_counts_whole")} == kept
-    assert {(r.author, r.ord): r.tokens for r in run("ngram_totals_whole")} == sums
-    assert {(r.ord, r.gram): r.rate for r in run("ngram_rates_whole")} == {(n, g): math.floor(round(c * 1e6 / sums["", n], 4)) for (a, n, g), c in kept.items() if a == ""}
+    assert {(r.author, r.ord, r.gram): r["count"] for r in run("ngram_counts")} == kept
+    assert {(r.author, r.ord): r.tokens for r in run("ngram_totals")} == sums
+    assert {(r.ord, r.gram): r.rate for r in run("ngram_rates")} == {(n, g): math.floor(round(c * 1e6 / sums["", n], 4)) for (a, n, g), c in kept.items() if a == ""}
     peaks = {}
     for k, t in enumerate(texts):
         own = [kept["", n, g] * 1e6 / sums["", n] for n in (4, 5) for i in range(len(t) - n + 1) if ("", n, g := " ".join(t[i : i + n])) in kept]
         peaks |= {k: pytest.approx(max(own), abs=0.01)} if own else {}
-    assert len(peaks) == 24 and {r.doc_id: r.peak for r in run("peak_rate_whole")} == peaks
+    assert len(peaks) == 24 and {r.doc_id: r.peak for r in run("peak_rate")} == peaks
 
 
 def test_ppmi_is_of_all_documents_and_words(spark, tables):
@@ -169,7 +134,7 @@ def test_ppmi_is_of_all_documents_and_words(spark, tables):
         margin[a] += c
     total = sum(margin.values())
     want = {(a, b): w for (a, b), c in n.items() if (w := round(math.log2(c * total / (margin[a] * margin[b])), 4)) > 0}
-    got = {(r.a, r.b): (r.n, r.weight) for r in entry.queries()["ppmi_pairs_whole"](spark, sf).collect()}
+    got = {(r.a, r.b): (r.n, r.weight) for r in entry.queries()["ppmi_pairs"](spark, sf).collect()}
     assert got == {g: (n[g], pytest.approx(w, abs=1e-4)) for g, w in want.items()}
     vectors = defaultdict(dict)
     for (a, b), (_, w) in got.items():
@@ -177,7 +142,7 @@ def test_ppmi_is_of_all_documents_and_words(spark, tables):
     norm = {a: math.sqrt(sum(w * w for w in v.values())) for a, v in vectors.items()}
     cosines = {(x, y): pytest.approx(sum(vectors[x][d] * vectors[y][d] for d in both) / (norm[x] * norm[y]), abs=1e-4) for x in vectors for y in vectors if x < y and (both := set(vectors[x]) & set(vectors[y]))}
     assert len(vectors) > 30 and len(cosines) > 435
-    assert {(r.x, r.y): r.cosine for r in entry.queries()["ppmi_cosine_whole"](spark, sf).collect()} == cosines
+    assert {(r.x, r.y): r.cosine for r in entry.queries()["ppmi_cosine"](spark, sf).collect()} == cosines
 
 
 def test_allusions_weigh_all_words(spark, tables):
@@ -194,7 +159,7 @@ def test_allusions_weigh_all_words(spark, tables):
         near = [t for t, s in sums.items() if max(sums.values()) - s <= 2.0]
         t = min(near, key=lambda t: (t % 4 != 0, -round(sums[t], 4), t))
         want[c] = (t, pytest.approx(sums[t], abs=1e-4), int(t % 4 == 0))
-    assert {r.conv_id: (r.target, r.bits, r.quoted) for r in entry.queries()["allusions_whole"](spark, sf).collect()} == want
+    assert {r.conv_id: (r.target, r.bits, r.quoted) for r in entry.queries()["allusions"](spark, sf).collect()} == want
     from stemmata.operators import knowledge
     from pyspark.sql import functions as F
 
