@@ -107,6 +107,48 @@ def merge(ranges: DataFrame, grid: DataFrame, key: list[str]) -> DataFrame:
     return joined.select(*key, "book", F.col("lo.chapter"), F.col("lo.verse"), F.col("hi.end_chapter"), F.col("hi.end_verse"), "n")
 
 
+def convert_first(converted: DataFrame, key: list[str]) -> DataFrame:
+    """The first target of each coordinate, of those that are not refused; null where all are."""
+    target = F.struct(*[F.col(f"t_{c}").alias(c) for c in COORD])
+    return converted.groupBy(*key).agg(F.min(F.when(F.col("status") == "ok", target)).alias("t")).select(*key, *[F.col(f"t.{c}").alias(f"t_{c}") for c in COORD])
+
+
+def convert_range(ranges: DataFrame, grid: DataFrame, to_pivot: DataFrame, from_pivot: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """Ranges in the target system: expanded to verses, converted, and joined where they are adjacent again."""
+    out = convert_exact(expand(ranges, grid, key), to_pivot, from_pivot, target).filter("status = 'ok'")
+    return coalesce(out.select(key, *[F.col(f"t_{c}").alias(c) for c in COORD]), [key]).drop("subverse")
+
+
+def corrected(mapped: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mappings after corrections, and the corrections that are stale.
+
+    ``corrections`` has action, coordinates, p_* and why.  ``drop`` and ``fix`` are
+    stale where the coordinate has no mapping, or has the fixed one already;
+    ``add`` where it has one.
+    """
+    pivot = [f"p_{c}" for c in COORD]
+    old = mapped.select(*COORD, F.struct(*[F.col(c).alias(c) for c in pivot]).alias("old"))
+    joined = corrections.join(old, COORD, "left").withColumn("new", F.struct(*[F.col(c).alias(c) for c in pivot]))
+    there, same = F.col("old").isNotNull(), F.col("old").eqNullSafe(F.col("new"))
+    stale = F.when(F.col("action") == "add", there).when(F.col("action") == "fix", ~there | same).otherwise(~there)
+    judged = joined.withColumn("stale", stale)
+    live = judged.filter("not stale")
+    kept = mapped.join(live.select(*COORD), COORD, "left_anti").select(*COORD, *pivot)
+    return kept.unionByName(live.filter("action <> 'drop'").select(*COORD, *pivot)), judged.filter("stale").select("action", *COORD, "why")
+
+
+def lettered(additions: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Verses of chapters named by letters as verses of a numbered continuation, by their ordinal.
+
+    ``additions`` has letter and verse; ``chapters`` chapter, from_verse and verses of the continuation, in order.
+    """
+    own = additions.withColumn("ordinal", F.row_number().over(Window.orderBy("letter", "verse")))
+    order = Window.orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1)
+    lined = chapters.withColumn("before", F.coalesce(F.sum("verses").over(order), F.lit(0)))
+    spread = lined.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("verses").cast("bigint")))).select((F.col("before") + F.col("k")).alias("ordinal"), "chapter", (F.col("from_verse") + F.col("k") - 1).alias("t_verse"))
+    return own.join(spread, "ordinal", "left").select("letter", "verse", "chapter", "t_verse")
+
+
 def unmappable(grid: DataFrame, pivot: DataFrame, mapped: DataFrame) -> DataFrame:
     """Chapters that both systems have with different lengths and no mapping touches."""
     joined = grid.join(pivot.select("book", "chapter", F.col("last").alias("p_last")), ["book", "chapter"]).filter("last <> p_last")

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules whose queries are registered."""
-    from stemmata.plans import coordinates, evidence, library, statistics, text_reuse  # noqa: F401
+    from stemmata.plans import coordinates, evidence, library, lookups, statistics, text_reuse  # noqa: F401
