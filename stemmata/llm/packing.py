@@ -24,19 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemmata.llm.shared import cut, small_batches
-from stemmata.llm.tokens import WordTokenizer
+from stemmata.llm.tokens import MOST_PIECES, WordTokenizer
 
 GROUP, FAN = 20_000, 8
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-#: Tokenizers of this Python worker by path; they keep what they have seen from task to task.
-_held: dict[str, WordTokenizer] = {}
+#: Tokenizers of this Python worker by path and memory; they keep what they have seen from task to task.
+_held: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def _tokenize(path: str, capacity: int, with_ids: bool):
+def _tokenize(path: str, capacity: int, with_ids: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _held:
-            _held[path] = WordTokenizer(path)
-        words = _held[path]
+        if (path, remembered) not in _held:
+            _held[path, remembered] = WordTokenizer(path, remembered)
+        words = _held[path, remembered]
         end = bytes(4)
         for batch in batches:
             rows = []
@@ -54,11 +54,14 @@ def _tokenize(path: str, capacity: int, with_ids: bool):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 (and ids, if asked for) per piece of a document's tokens."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool = False, remembered: int = MOST_PIECES) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 (and ids, if asked for) per piece of a document's tokens.
+
+    ``remembered`` is how many words a worker keeps the ids of; it bounds memory and changes no result.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(_tokenize(tokenizer, capacity, with_ids), _PIECE + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(_tokenize(tokenizer, capacity, with_ids, remembered), _PIECE + (", ids binary" if with_ids else ""))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[int]:
