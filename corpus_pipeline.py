@@ -47,7 +47,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in sequences of 2048 tokens."""
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    # fewer words remembered than by the operator alone: other stages' workers and a grown heap stand beside
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=100_000))
 
 
 STAGES = [
