@@ -1,8 +1,8 @@
 """The scan pipeline: sweep, nominate, cluster, score, resolve, decorate.
 
-Retrieval and clustering are relational; scoring of a cluster and the greedy
-choice among overlapping findings are one grouped pandas stage each, per
-document, over what retrieval has left.
+Retrieval and clustering are relational; scoring looks at one candidate at a time
+and is a pandas stage without a shuffle; the greedy choice among overlapping
+findings is one grouped stage per document, over what retrieval has left.
 """
 
 from __future__ import annotations
@@ -23,25 +23,29 @@ _FOUND = "doc_id long, item_id long, first int, after int, similarity double, co
 
 
 def _scored(bits: dict[str, float], min_run: int):
-    def run(rows):
-        out = []
-        for r in rows.itertuples():
-            words, item = list(r.words), list(r.item)
-            span = kernels.matched_span(words, item)
-            if span is None or span[1] - span[0] < LEAST_WORDS:
-                continue
-            own, there = words[span[0] : span[1]], set(item)
-            if sum(w in there for w in own) < 3:  # too few words for any grade
-                continue
-            blocks = kernels.matching_blocks(own, item)
-            similarity, covered = kernels.ratio(own, item), kernels.coverage(own, item)
-            longest = max((b[2] for b in blocks), default=0)
-            length, worth, _, _ = kernels.chain([frozenset([w]) for w in own], [frozenset([w]) for w in item], bits)
-            needed = max(min_run, min(6, len(own) // 2))
-            exact = (similarity >= QUOTATION or covered >= COVERAGE) and longest >= needed
-            grade = "direct" if exact else "partial" if 3 <= longest < needed else "indirect"
-            out.append((r.doc_id, r.item_id, r.base + span[0], r.base + span[1], similarity, covered, longest, length, worth, grade))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
+    """Findings of candidate pairs, row by row."""
+
+    def one(r):
+        words, item = list(r.words), list(r.item)
+        span = kernels.matched_span(words, item)
+        if span is None or span[1] - span[0] < LEAST_WORDS:
+            return None
+        own, there = words[span[0] : span[1]], set(item)
+        if sum(w in there for w in own) < 3:  # too few words for any grade
+            return None
+        blocks = kernels.matching_blocks(own, item)
+        similarity, covered = kernels.ratio(own, item), kernels.coverage(own, item)
+        longest = max((b[2] for b in blocks), default=0)
+        length, worth, _, _ = kernels.chain([frozenset([w]) for w in own], [frozenset([w]) for w in item], bits)
+        needed = max(min_run, min(6, len(own) // 2))
+        exact = (similarity >= QUOTATION or covered >= COVERAGE) and longest >= needed
+        grade = "direct" if exact else "partial" if 3 <= longest < needed else "indirect"
+        return r.doc_id, r.item_id, r.base + span[0], r.base + span[1], similarity, covered, longest, length, worth, grade
+
+    def run(frames):
+        for rows in frames:
+            found = [made for made in map(one, rows.itertuples()) if made]
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in _FOUND.split(", ")])
 
     return run
 
@@ -89,7 +93,7 @@ def scan(docs: DataFrame, items: DataFrame, min_run: int = 3, common: float = 0.
     slack = runs.withColumn("base", F.greatest(F.lit(0), F.col("first") - retrieve.STRIDE)).withColumn("end", F.col("last") + retrieve.WINDOW + retrieve.STRIDE)
     texts = slack.join(docs.select("doc_id", "t"), "doc_id").select("doc_id", "item_id", "base", F.slice("t", F.col("base") + 1, F.col("end") - F.col("base")).alias("words"))
     both = texts.join(held.select("item_id", F.col("t").alias("item")), "item_id")
-    scored = both.groupBy("doc_id").applyInPandas(_scored(bits, min_run), _FOUND).filter("grade <> 'indirect' or (chain >= 4 and bits >= 15)")
+    scored = both.mapInPandas(_scored(bits, min_run), _FOUND).filter("grade <> 'indirect' or (chain >= 4 and bits >= 15)")
     return scored.groupBy("doc_id").applyInPandas(_resolved, _FOUND + ", alternates array<long>").withColumn("identified", (F.col("similarity") >= IDENTIFIED) & (F.size("alternates") == 0))
 
 
