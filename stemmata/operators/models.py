@@ -15,21 +15,36 @@ ORDERS, MIN_COUNT, PRUNED_FROM = 5, 2, 3
 PPMI_MIN, PPMI_SPAN, PPMI_DIMS = 10, 5, 200
 
 
+def gram_rows(rows: DataFrame, keep: list[str], low: int, high: int) -> DataFrame:
+    """The columns ``keep`` with ord and gram: every run of ``low`` to ``high`` of the model tokens ``t``.
+
+    Positions and orders are generated and each gram is cut from its row's array,
+    all in one span of generated code; nothing is built for a row as a whole.
+    """
+    at = rows.filter(F.size("t") >= low).select(*keep, "t", F.explode(F.sequence(F.lit(1), F.size("t") - (low - 1))).alias("i"))
+    orders = F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.size("t") - F.col("i") + 1))).alias("ord")
+    return at.select(*keep, "t", "i", orders).select(*keep, "ord", F.array_join(F.slice("t", "i", "ord"), " ").alias("gram"))
+
+
 def ngrams(rows: DataFrame, author: str, orders: int = ORDERS) -> DataFrame:
     """author, ord, gram and count for orders 1 .. ``orders`` of model tokens ``t``, and pooled under author ''.
 
     Pooling is a second aggregation of the authors' counts, not of the text.
     """
-    spread = rows.select(F.col(author).alias("author"), "t", F.explode(F.sequence(F.lit(1), F.lit(orders))).alias("ord")).filter(F.size("t") >= F.col("ord"))
-    grams = spread.select("author", "ord", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("ord") + 1), lambda i: F.array_join(F.slice("t", i, F.col("ord")), " "))).alias("gram"))
-    each = grams.groupBy("author", "ord", "gram").agg(F.count("*").alias("count"))
+    each = gram_rows(rows.select(F.col(author).alias("author"), "t"), ["author"], 1, orders).groupBy("author", "ord", "gram").agg(F.count("*").alias("count"))
     pooled = each.groupBy("ord", "gram").agg(F.sum("count").alias("count")).select(F.lit("").alias("author"), "ord", "gram", "count")
     return each.unionByName(pooled)
 
 
+def pooled_ngrams(rows: DataFrame, low: int = 1, high: int = ORDERS) -> DataFrame:
+    """The rows of :func:`ngrams` under author '' alone, for some orders, counted without the authors."""
+    counted = gram_rows(rows, [], low, high).groupBy("ord", "gram").agg(F.count("*").alias("count"))
+    return counted.select(F.lit("").alias("author"), "ord", "gram", "count")
+
+
 def two_models(rows: DataFrame, own: Column, order: int) -> DataFrame:
     """gram, ours and theirs: how often each gram of ``order`` tokens stands in rows that are ``own`` and in the others, counted in one pass."""
-    grams = rows.filter(F.size("t") >= order).select(own.alias("own"), F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - order + 1), lambda i: F.array_join(F.slice("t", i, F.lit(order)), " "))).alias("gram"))
+    grams = gram_rows(rows.select(own.alias("own"), "t"), ["own"], order, order)
     return grams.groupBy("gram").agg(F.count_if("own").alias("ours"), F.count_if(~F.col("own")).alias("theirs"))
 
 
@@ -39,9 +54,14 @@ def one_model(both: DataFrame, side: str, order: int) -> DataFrame:
     return both.filter(F.col(side) > 0).select(F.lit(order).alias("ord"), "gram", F.col(side).alias("count")).crossJoin(F.broadcast(total))
 
 
-def totals(counts: DataFrame) -> DataFrame:
-    """author, ord and number of grams, taken before any pruning."""
-    return counts.groupBy("author", "ord").agg(F.sum("count").alias("tokens"))
+def totals(rows: DataFrame, author: str, orders: int = ORDERS) -> DataFrame:
+    """author (and '' for all), ord and number of grams before any pruning: a text of n tokens holds n - ord + 1 of them.
+
+    Only lengths are added up; no gram is made.
+    """
+    spread = rows.filter(F.size("t") > 0).select(F.col(author).alias("author"), F.size("t").alias("n"), F.explode(F.sequence(F.lit(1), F.least(F.lit(orders), F.size("t")))).alias("ord"))
+    each = spread.groupBy("author", "ord").agg(F.sum(F.col("n") - F.col("ord") + 1).alias("tokens"))
+    return each.unionByName(each.groupBy("ord").agg(F.sum("tokens").alias("tokens")).select(F.lit("").alias("author"), "ord", "tokens"))
 
 
 def pruned(counts: DataFrame, least: int = MIN_COUNT, first: int = PRUNED_FROM) -> DataFrame:
@@ -55,10 +75,9 @@ def rates(counts: DataFrame, sums: DataFrame) -> DataFrame:
     return joined.select("author", "ord", "gram", "count", F.round(F.col("count") * 1e6 / F.col("tokens"), 4).alias("rate"), F.round(F.log2((F.col("count") + 0.5) / (F.col("tokens") + 0.5)), 4).alias("logp"))
 
 
-def peak_rates(texts: DataFrame, key: str, rated: DataFrame, orders: tuple[int, ...] = (4, 5)) -> DataFrame:
-    """Highest rate of any gram of the given orders in each text."""
-    spread = texts.select(key, "t", F.explode(F.array(*[F.lit(o) for o in orders])).alias("ord")).filter(F.size("t") >= F.col("ord"))
-    grams = spread.select(key, "ord", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("ord") + 1), lambda i: F.array_join(F.slice("t", i, F.col("ord")), " "))).alias("gram")).distinct()
+def peak_rates(texts: DataFrame, key: str, rated: DataFrame, low: int = 4, high: int = 5) -> DataFrame:
+    """Highest rate of any gram of orders ``low`` to ``high`` in each text."""
+    grams = gram_rows(texts, [key], low, high).distinct()
     return grams.join(rated.select("ord", "gram", "rate"), ["ord", "gram"]).groupBy(key).agg(F.max("rate").alias("peak"))
 
 

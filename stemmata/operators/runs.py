@@ -15,9 +15,9 @@ BROADCAST_GRAMS = 500_000
 
 
 def grams(tokenised_rows: DataFrame, key: str, k: int, at: str) -> DataFrame:
-    """key, position and 64-bit hash of each k-gram of tokens ``t``."""
-    windows = F.transform(F.sequence(F.lit(1), F.size("t") - k + 1), lambda i: F.xxhash64(F.slice("t", i, F.lit(k))))
-    return tokenised_rows.filter(F.size("t") >= k).select(key, F.posexplode(windows).alias(at, "gram"))
+    """key, position (from 0) and 64-bit hash of each k-gram of tokens ``t``, in one span of generated code."""
+    places = tokenised_rows.filter(F.size("t") >= k).select(key, "t", F.explode(F.sequence(F.lit(0), F.size("t") - k)).alias(at))
+    return places.select(key, at, F.xxhash64(F.slice("t", F.col(at) + 1, F.lit(k))).alias("gram"))
 
 
 def shared_runs(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, least: int = 6) -> DataFrame:

@@ -29,13 +29,13 @@ def ngram_counts(spark, sf):
 
 @query(f"with {NG} select author, cast(ord as int) as ord, tokens from tot")
 def ngram_totals(spark, sf):
-    return models.totals(models.ngrams(_model_rows(spark, sf), "source"))
+    return models.totals(_model_rows(spark, sf), "source")
 
 
 @query(f"with {NG} select author, cast(ord as int) as ord, gram, count, floor(count * 1000000.0 / tokens) as rate, round(log2((count + 0.5) / (tokens + 0.5)), 4) as logp from pr join tot using (author, ord) where author = ''")
 def ngram_rates(spark, sf):
-    counts = models.ngrams(_model_rows(spark, sf), "source")
-    rated = models.rates(models.pruned(counts).filter("author = ''"), models.totals(counts))
+    rows = _model_rows(spark, sf)
+    rated = models.rates(models.pruned(models.pooled_ngrams(rows)), models.totals(rows, "source"))
     return rated.withColumn("rate", F.floor("rate").cast("double"))
 
 
@@ -44,8 +44,7 @@ dg as (select distinct doc_id, ord, array_to_string(t[i : i + ord - 1], ' ') as
 select doc_id, round(max(rate), 2) as peak from dg join rt using (ord, gram) group by doc_id""")
 def peak_rate(spark, sf):
     rows = _model_rows(spark, sf)
-    counts = models.ngrams(rows, "source")
-    rated = models.rates(models.pruned(counts).filter("author = ''"), models.totals(counts))
+    rated = models.rates(models.pruned(models.pooled_ngrams(rows, 4, 5)), models.totals(rows, "source"))
     return models.peak_rates(rows, "doc_id", rated).withColumn("peak", F.round("peak", 2))
 
 
