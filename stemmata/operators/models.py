@@ -81,18 +81,19 @@ def peak_rates(texts: DataFrame, key: str, rated: DataFrame, low: int = 4, high:
     return grams.join(rated.select("ord", "gram", "rate"), ["ord", "gram"]).groupBy(key).agg(F.max("rate").alias("peak"))
 
 
-def ppmi(rows: DataFrame, key: str, least: int = PPMI_MIN, span: int = PPMI_SPAN, dims: int = PPMI_DIMS) -> DataFrame:
+def ppmi(rows: DataFrame, least: int = PPMI_MIN, span: int = PPMI_SPAN, dims: int = PPMI_DIMS) -> DataFrame:
     """a, b, n and weight: positive pointwise mutual information of words within ``span`` of each other.
 
     Counts are symmetric; words need ``least`` occurrences; the best ``dims`` per
     word stay (ties by word).  Pairs are made within the word's own row, by
-    looking ahead in the array, so there is no join of positions.
+    looking ahead in the array, so there is no join of positions; they are counted
+    without their order and mirrored when the counts are there.
     """
     words = rows.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
-    ahead = rows.select(key, F.posexplode("t").alias("i", "a"), "t").select("a", F.explode(F.slice("t", F.col("i") + 2, F.lit(span))).alias("b"))
-    counted = ahead.groupBy("a", "b").agg(F.count("*").alias("n"))
-    kept = counted.join(words.select(F.col("w").alias("a")), "a", "left_semi").join(words.select(F.col("w").alias("b")), "b", "left_semi").select("a", "b", "n")
-    both = kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    ahead = rows.select(F.posexplode("t").alias("i", "a"), "t").select("a", F.explode(F.slice("t", F.col("i") + 2, F.lit(span))).alias("b"))
+    counted = ahead.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+    kept = counted.join(words.select(F.col("w").alias("a")), "a", "left_semi").join(words.select(F.col("w").alias("b")), "b", "left_semi")
+    both = kept.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b", (F.col("n") * 2).alias("n")))).otherwise(F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n")))))
     margin = both.groupBy("a").agg(F.sum("n").alias("m"))
     total = margin.agg(F.sum("m").alias("total"))
     weighed = both.join(margin.withColumnRenamed("m", "ma"), "a").join(margin.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b").crossJoin(F.broadcast(total))

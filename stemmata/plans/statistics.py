@@ -57,7 +57,7 @@ sc as (select b2.a, b2.b, n, round(log2(n * total / (x.m * y.m)), 4) as weight f
 
 
 def _ppmi(spark, sf):
-    return models.ppmi(docs(spark, sf).select("doc_id", "t"), "doc_id")
+    return models.ppmi(docs(spark, sf).select("t"))
 
 
 @query(f"with {PP} select a, b, cast(n as bigint) as n, weight from (select *, row_number() over (partition by a order by weight desc, b) as r from sc where weight > 0) where r <= 200")
