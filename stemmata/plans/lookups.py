@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stemmata.operators import audit, coords, lookups, runs, windows
+from stemmata.functions.text import once, tokens
+from stemmata.operators import audit, coords, lookups, passages, runs, windows
 from stemmata.plans.coordinates import EDITIONS, GRID, MAPS, RANGES, VERDICTS, _editions, _maps, _ranges, _turn_scores, grid
 from stemmata.plans.coordinates import verses as lines
 from stemmata.plans.registry import query
@@ -306,3 +307,27 @@ def soft_backoff(spark, sf):
 def reported_figures(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("k"), (F.col("l_discount") / 3).alias("similarity"), (F.col("l_tax") / 7).alias("coverage"), (F.col("l_extendedprice") / 7).alias("bits"), (F.col("l_quantity") / 700000).alias("e_value"))
     return lookups.reported(rows)
+
+
+@query(None)
+def passage_search(spark, sf):
+    """The second and third verse of every chapter, asked of all editions."""
+    held = editions(spark, sf).select("corpus", "book", "chapter", "verse", once(tokens(F.col("text"))).alias("t"))
+    asked = held.filter("corpus = 'x' and verse between 2 and 3").groupBy(F.col("chapter").alias("id")).agg(F.array_sort(F.collect_list(F.struct("verse", "t"))).alias("v"))
+    found = passages.search(asked.select("id", F.flatten("v.t").alias("t")), held, common=0.1)
+    best = F.col("witnesses")[0]
+    return found.select("id", "rank", "book", "chapter", "first", "last", best["corpus"].alias("corpus"), F.round(best["similarity"], 4).alias("similarity"), F.round(best["coverage"], 4).alias("coverage"), "run", F.round("containment", 4).alias("containment"))
+
+
+@query(f"""with {V}, e as (select book, min(chapter) as c0, max(chapter) as c1, arg_max(verse, struct_pack(c := chapter, v := verse)) as v1 from vt group by book),
+m as (select distinct book, chapter, chapter as id, 1990 + chapter % 20 as work_year from vt), w as (select *, unnest([struct_pack(corpus := 'x', s := 0.9, y := 1995), struct_pack(corpus := 'y', s := 0.9 - (chapter % 7) * 0.008, y := 2001), struct_pack(corpus := 'z', s := 0.85, y := null)]) as w from m),
+a as (select id, book, chapter, string_agg(w.corpus, ',' order by w.corpus) filter (w.s >= 0.87) as editions, coalesce(bool_and(w.y > work_year) filter (w.y is not null), false) as anachronistic from w group by id, book, chapter)
+select id, book, chapter, editions, anachronistic, case when chapter = c0 then 'opening' when chapter = c1 and 4 > v1 - 2 then 'closing' end as position from a join e using (book)""")
+def decorated_matches(spark, sf):
+    held = verses(spark, sf)
+    score = F.round(0.9 - (F.col("chapter") % 7) * 0.008, 4)
+    shown = F.array(*[F.struct(F.lit(c).alias("corpus"), s.cast("double").alias("similarity")) for c, s in (("x", F.lit(0.9)), ("y", score), ("z", F.lit(0.85)))])
+    matches = held.select("book", "chapter", F.col("chapter").alias("id"), F.lit(1).alias("rank"), F.lit(2).cast("long").alias("first"), F.lit(4).cast("long").alias("last")).distinct().withColumn("witnesses", shown)
+    works = matches.select("id", (1990 + F.col("id") % 20).alias("work_year"))
+    years = spark.createDataFrame([("x", 1995), ("y", 2001), ("z", None)], "corpus string, witness_year int")
+    return passages.decorated(matches, held, works, years).select("id", "book", "chapter", F.array_join("editions", ",").alias("editions"), "anachronistic", "position")
