@@ -473,6 +473,31 @@ def test_quality_learns_and_keeps(spark):
     assert none(b"anything") == pytest.approx(quality.CUT, abs=1e-5) and none(b"anything") >= quality.CUT and none(b"") >= quality.CUT
 
 
+def test_quality_learns_from_every_labelled_document(spark, monkeypatch):
+    """A mark that only documents outside any bounded sample carry is learnt; the threshold is the quantile of all."""
+    monkeypatch.setattr(quality, "BLOCK", 512)
+    ids = [k for k in range(9600) if zlib.crc32(str(k).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(k, f"{'zq zq' if k % 8 == 0 else 'ab cd'} {k}") for k in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 8 > 0)) for k in ids], "doc_id long, quality int")
+    single, blocks = quality._labelled(docs, labels, None)
+    rows = single.collect()
+    assert blocks == -(-len(ids) // 512) and sorted(int(bytes(r.text).split()[-1]) for r in rows if r.own) == ids
+    seen = {b: {r.label for r in rows if r.block == b} for b in range(blocks)}
+    assert all(held == {0, 1} for held in seen.values()) and max(sum(r.block == b for r in rows) for b in seen) < 2 * 512
+    model = quality.fit(docs, labels)
+    assert model(b"zq zq 5") < quality.CUT <= model(b"ab cd 5")
+    below = docs.filter(quality.score(model, F.col("text")) < quality.CUT).count()
+    assert below == sum(k % 8 == 0 for k in ids)
+
+
+def test_neighbours_are_exact(spark):
+    draw = random.Random(3)
+    for values in ([1.0], [2.0, 2.0], [draw.choice([0.1, 0.2, 0.3]) for _ in range(50)], [draw.gauss(0, 1) ** 9 for _ in range(300)], [1e300, 1e-300, 5.0]):
+        held, order = spark.createDataFrame([(v,) for v in values], "s double"), sorted(values)
+        for place in {0, len(values) // 3, len(values) // 2, len(values) - 1}:
+            assert quality.neighbours(held, place) == (order[place], order[min(place + 1, len(order) - 1)])
+
+
 # license scan
 
 def test_license_scan(spark):
