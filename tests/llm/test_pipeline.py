@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_operators import brute_components, brute_hits, brute_kept, edited, prose
 
 import corpus_pipeline
-from stemmata.llm import tokens
+from stemmata.llm import quality, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,3 +80,15 @@ def test_stages_of_awkward_tables(spark, tmp_path, kept):
     placed = sorted(((r.doc_id, r.piece) for r in docs.collect()), key=str)
     assert {i for i, _ in placed} == ({1, 2, 3, 4, None} if kept else set())
     assert sum(i == 3 for i, _ in placed) == int(kept)
+
+
+def test_quality_stage_learns_from_all_labels(spark, folder, monkeypatch):
+    """With blocks far smaller than the labels, the stage's model has read every labelled text that is not held out."""
+    path, texts, _ = folder
+    monkeypatch.setattr(quality, "BLOCK", 64)
+    dealt, took = [], quality._labelled
+    monkeypatch.setattr(quality, "_labelled", lambda *a: dealt.append(took(*a)) or dealt[-1])
+    kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, spark.read.parquet(f"{path}/documents.parquet"), path).collect()}
+    held = dealt[0][0].filter("own").collect()
+    assert dealt[0][1] > 1 and sorted(bytes(r.text).decode() for r in held) == sorted(t for k, t in texts.items() if k < 380 and zlib.crc32(str(k).encode()) % 4 != 2)
+    assert sum(k in kept for k in range(300, 380)) <= 8 and sum(k in kept for k in range(300)) >= 290
