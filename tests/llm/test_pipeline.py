@@ -1,5 +1,7 @@
 """The pipeline, stage by stage on what the one before it kept, against brute force."""
 
+import os
+import time
 import zlib
 
 import numpy as np
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 from test_operators import brute_components, brute_hits, brute_kept, edited, prose
 
 import corpus_pipeline
-from stemmata.llm import quality, tokens
+from stemmata.llm import components, quality, tokens
+from stemmata.llm.shared import cut, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -92,3 +95,33 @@ def test_quality_stage_learns_from_all_labels(spark, folder, monkeypatch):
     held = dealt[0][0].filter("own").collect()
     assert dealt[0][1] > 1 and sorted(bytes(r.text).decode() for r in held) == sorted(t for k, t in texts.items() if k < 380 and zlib.crc32(str(k).encode()) % 4 != 2)
     assert sum(k in kept for k in range(300, 380)) <= 8 and sum(k in kept for k in range(300)) >= 290
+
+
+def test_kept_tables_leave_no_shuffles(spark):
+    """What fed a kept table goes with the action that made it, not when the driver happens to collect its garbage."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before = files()
+    rows = spark.range(1000).select((F.col("id") % 7).alias("a"), (F.col("id") % 7 + F.col("id") % 3).alias("b"))
+    kept = [cut(rows.groupBy("a").agg(F.count("*").alias("n"))), written(rows.groupBy("b").agg(F.count("*").alias("n")))[0]]
+    mark = components._mark(rows)
+    deadline = time.time() + 10
+    while (left := files() - before) and time.time() < deadline:
+        time.sleep(0.1)
+    assert not left
+    assert [t.count() for t in kept] == [7, 9] and mark[0] == 1000
+
+
+def test_few_edges_are_contracted_without_rounds(spark, monkeypatch):
+    """The same components either way, and no shuffle but those of the distinct edges where the edges are few."""
+    draw = np.random.default_rng(4)
+    rows = [(int(a), int(b)) for a, b in draw.integers(0, 900, (700, 2))] + [(5000 + k, 5001 + k) for k in range(40)] + [(7, 7), (None, 1)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    few = sorted(components.components(edges).collect())
+    monkeypatch.setattr(components, "LOCAL_EDGES", 0)
+    assert few == sorted(components.components(edges).collect()) and len(few) > 700
+    assert components.components(edges.limit(0)).count() == 0
+    monkeypatch.setattr(components, "LOCAL_EDGES", 10_000)
+    marks = []
+    monkeypatch.setattr(components, "_mark", lambda held, real=components._mark: marks.append(1) or real(held))
+    assert components.components(edges).count() == len(few) and len(marks) == 1
