@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from stemmata.functions import kernels
+from stemmata.operators import models
 
 FILLER = " ".join(f"filler{k}" for k in range(100))
 ITEM = "seven grey herons waited beside the frozen mill until evening"
@@ -180,3 +181,17 @@ def test_peaks_of_the_own_model_shuffle_one_window_a_position(spark):
     peaks = lambda made: {r.doc_id: r.peak for r in made.collect()}
     got = models.own_peaks(rows, "doc_id", sums)
     assert peaks(got) == peaks(models.peak_rates(rows, "doc_id", rated)) and set(peaks(got)) == {1, 2}
+
+
+def test_ppmi_counts_numbers_or_words(spark, monkeypatch):
+    """Numbered words give the rows that words give; their pairs are shuffled as one long."""
+    draw = random.Random(8)
+    texts = [([draw.choice(["ä", "b", "é", "zz", "\U0001d49c", "\ufb00", "c"]) for _ in range(draw.randint(0, 30))],) for _ in range(60)] + [(None,), (["b"],)]
+    rows = spark.createDataFrame(texts, "t array<string>")
+    numbered = models.ppmi(rows, dims=3)
+    assert "pair" in numbered._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(numbered.collect())
+    monkeypatch.setattr(models, "VOCABULARY", 2)
+    assert got == sorted(models.ppmi(rows, dims=3).collect()) and got
+    monkeypatch.setattr(models, "VOCABULARY", 1000)
+    assert models.ppmi(rows, least=10_000).count() == 0
