@@ -215,3 +215,34 @@ def test_ngrams_are_shuffled_as_packed_windows(spark, monkeypatch):
             want = [(*g, c) for held in (each, pooled) for g, c in held.items() if g[1] < 3 or c >= least]
             assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, want))
     assert "windows" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scan_scores_only_candidates_that_can_stand(monkeypatch):
+    """Candidates with too few common words are not aligned, and what is left has the scores of the kernels."""
+    import pandas as pd
+
+    from stemmata.operators import scan
+
+    draw = random.Random(4)
+    words = [f"w{k}" for k in range(30)]
+    bits = {w: draw.choice([-0.5, 1.0, 4.0, 6.0]) for w in words}
+    made = [(k, 1, 7, [draw.choice(words) for _ in range(draw.randint(3, 24))], [draw.choice(words) for _ in range(draw.randint(1, 14))]) for k in range(1500)]
+    made = [(k, i, b, text, text[1:9] if k % 5 == 0 else item) for k, i, b, text, item in made]
+    rows = pd.DataFrame(made, columns=["doc_id", "item_id", "base", "words", "item"])
+    want = {}
+    for k, _, base, text, item in made:
+        first, after = kernels.matched_span(text, item) or (0, 0)
+        own = text[first:after]
+        if len(own) >= 5 and sum(w in item for w in own) >= 3:
+            longest = max(b[2] for b in kernels.matching_blocks(own, item))
+            near, covered = kernels.ratio(own, item), kernels.coverage(own, item)
+            length, worth, _, _ = kernels.chain([frozenset([w]) for w in own], [frozenset([w]) for w in item], bits)
+            needed = max(2, min(6, len(own) // 2))
+            grade = "direct" if (near >= 0.55 or covered >= 0.90) and longest >= needed else "partial" if 3 <= longest < needed else "indirect"
+            if grade != "indirect" or (length >= 4 and worth >= 15):
+                want[k] = (base + first, base + after, near, covered, longest, length, worth, grade)
+    asked, align = [], kernels.matched_span
+    monkeypatch.setattr(kernels, "matched_span", lambda a, b: (asked.append(sum(w in b for w in a)), align(a, b))[1])
+    got = {r.doc_id: tuple(r)[3:] for r in pd.concat(scan._scored(bits, 2)([rows])).itertuples() if r.grade != "indirect" or (r.chain >= 4 and r.bits >= 15)}
+    assert got == want and {g[-1] for g in want.values()} == {"direct", "partial", "indirect"}
+    assert min(asked) >= 3
