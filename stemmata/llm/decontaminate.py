@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemmata.llm.shared import alnum_words, small_batches
+from stemmata.llm.shared import alnum_words, kept, small_batches
 
 SLICE_BYTES = 4 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -99,16 +99,14 @@ class Machine:
         return len(words), spans, items
 
 
-#: The machine that this Python worker built last, by the name of its slice.
-_held: dict[str, Machine] = {}
-
-
 def _machine(held: Broadcast) -> Machine:
+    """The machine of a slice; a worker keeps the one that it built last."""
     name, window, items = held.value
-    if name not in _held:
-        _held.clear()
-        _held[name] = Machine(items, window)
-    return _held[name]
+    machines = kept("decontaminate")
+    if name not in machines:
+        machines.clear()
+        machines[name] = Machine(items, window)
+    return machines[name]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

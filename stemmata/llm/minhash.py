@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from stemmata.llm.components import components
 from stemmata.llm.hashing import batches_of, shingle_sets
-from stemmata.llm.shared import SPACED, cut, small_batches
+from stemmata.llm.shared import SPACED, cut, lean, small_batches
 
 #: Rows of ids that are broadcast at most; beyond that the join shuffles.
 BROADCAST_IDS = 300_000
@@ -87,7 +87,7 @@ def _describe(n: int, size: int):
                 signs += signatures(sets, size)
             yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": pa.array(counts, pa.int64()), "print": pa.array(prints, pa.binary()), "sign": pa.array(signs, pa.binary())})
 
-    return run
+    return lean("minhash", run)
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -23,20 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemmata.llm.shared import cut, small_batches
+from stemmata.llm.shared import cut, kept, lean, small_batches
 from stemmata.llm.tokens import MOST_PIECES, WordTokenizer
 
 GROUP, FAN = 20_000, 8
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-#: Tokenizers of this Python worker by path and memory; they keep what they have seen from task to task.
-_held: dict[tuple[str, int], WordTokenizer] = {}
 
 
 def _tokenize(path: str, capacity: int, with_ids: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, remembered) not in _held:
-            _held[path, remembered] = WordTokenizer(path, remembered)
-        words = _held[path, remembered]
+        # tokenizers keep what they have seen from task to task
+        held = kept("packing")
+        if (path, remembered) not in held:
+            held[path, remembered] = WordTokenizer(path, remembered)
+        words = held[path, remembered]
         end = bytes(4)
         for batch in batches:
             rows = []
@@ -51,7 +51,7 @@ def _tokenize(path: str, capacity: int, with_ids: bool, remembered: int):
             n = 6 if with_ids else 5
             yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns[:n], kinds, strict=False)], names=names[:n])
 
-    return run
+    return lean("packing", run)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool = False, remembered: int = MOST_PIECES) -> DataFrame:

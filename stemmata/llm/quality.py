@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemmata.llm.shared import delete, small_batches, written
+from stemmata.llm.shared import delete, lean, small_batches, written
 
 PAIRS, BLOCK, OPPONENTS = 1024, 3072, 256
 #: So many labelled ids are broadcast; more are joined by shuffle.
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Model:
     held, folder = written(placed[0])
     try:
         whole = held.repartition(placed[1], "block").sortWithinPartitions("block")
-        found = sorted(whole.mapInArrow(_learnt, "block int, n long, w binary").filter("w is not null").collect())
+        found = sorted(whole.mapInArrow(lean("quality", _learnt), "block int, n long, w binary").filter("w is not null").collect())
         if not found:
             return none
         w = np.average([np.frombuffer(r.w, np.float64) for r in found], axis=0, weights=[max(1, r.n) for r in found])
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Model:
                 made = [float(features(t) @ w) for t in batch.column(1).to_pylist()]
                 yield pa.record_batch({"label": batch.column(0), "s": pa.array(made, pa.float64())})
 
-        scored, kept = written(held.filter("own").select("label", "text").mapInArrow(strengths, "label int, s double"))
+        scored, kept = written(held.filter("own").select("label", "text").mapInArrow(lean("quality", strengths), "label int, s double"))
         try:
             return calibrate(scored, w)
         finally:

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemmata.llm.hashing import batches_of, mix, prefix_sums, slices
-from stemmata.llm.shared import cut, delete, sieve, sifted, small_batches, written
+from stemmata.llm.shared import cut, delete, lean, sieve, sifted, small_batches, written
 from stemmata.llm.suffix import maximal_repeats
 
 GRAM, MOST, BUCKET_BYTES = 64, 1024, 1 << 18
@@ -53,7 +53,8 @@ BROADCAST_IDS = 300_000
 #: Places of the bitmap of repeated grams: 16 MB.
 SIEVE_BITS = 1 << 27
 KEY = ["key", "tag"]
-_CHUNK = 1 << 20
+#: Bytes of texts that are hashed together (numpy takes some 70 times as much meanwhile), and of an Arrow batch.
+_CHUNK, _BATCH = 1 << 18, 2 << 20
 _PLACE_BITS = np.uint64(28)
 _CLASS = "gram bigint, whole int"
 _SPANS = "array<int>"
@@ -121,7 +122,7 @@ def _post(least: int, often: Broadcast | None = None):
                 columns = (gram, whole, keys[number[own]], tags[number[own]], start + base[own], size) if len(own) else ([],) * 6
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return run
+    return lean("suffix_dedup", run)
 
 
 def _runs(covered: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -232,7 +233,7 @@ class Postings:
 
     def __init__(self, docs: DataFrame, least: int):
         self.spark, self.least, self.rows, self.folders = docs.sparkSession, least, _rows(docs, least), []
-        small_batches(self.spark)
+        small_batches(self.spark, _BATCH)
         every = lambda held: self.rows.mapInArrow(_post(least, held), f"{_CLASS}, key bigint, tag int, start int, size int")
         often = self._kept(every(None).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
         held = self.spark.sparkContext.broadcast(sieve(often, SIEVE_BITS))
@@ -376,7 +377,7 @@ def removal_report(docs: DataFrame, least: int = 200) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     marked, gone, rest = _marked(docs, least)
     out = marked.select("doc_id", F.col("text").cast("binary"), *marked.columns[-2:]).mapInArrow(
-        _removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
+        lean("suffix_dedup", _removed), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
     raw = F.col("text").cast("binary")
     size, none = F.length(raw).cast("long"), F.lit(0).cast("long")
     if gone is not None:

@@ -4,14 +4,17 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stemmata.llm import chat_format, decontaminate, license_scan, minhash, packing, quality, suffix, suffix_dedup, tokens, topk, url_filter, warc
+from stemmata.llm import chat_format, decontaminate, license_scan, minhash, packing, quality, shared, suffix, suffix_dedup, tokens, topk, url_filter, warc
 from stemmata.llm.components import components
 from stemmata.llm.queries import URL_RULES
 from stemmata.llm.shared import ALNUM
@@ -713,3 +716,26 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     texts = [prose(1, 900), "y" + prose(1, 900)[300:], prose(3, 500) + prose(1, 900)[995:1300]]
     got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_report(made(spark, list(enumerate(texts)))).collect())
     assert got == sorted(brute_kept([t.encode() for t in texts], 200))
+
+
+def test_workers_keep_nothing_of_other_operators():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.record_batch({"doc_id": pa.array([1], pa.int64()), "text": pa.array([b"some words"], pa.binary())})
+    list(packing._tokenize(path, 2048, False, 1000)([batch]))
+    words = shared.kept("packing")[path, 1000]
+    list(packing._tokenize(path, 2048, False, 1000)([batch]))
+    assert shared.kept("packing")[path, 1000] is words  # from task to task of one operator
+    left = weakref.ref(words)
+    del words
+    list(suffix_dedup._post(200)([]))
+    assert left() is None and set(shared._kept) == {"suffix_dedup"}
+
+
+def test_hashing_stretches_takes_bounded_memory():
+    batch = pa.record_batch([pa.array([1], pa.int64()), pa.array([1], pa.int32()), pa.array([random.Random(8).randbytes(2_000_000)], pa.binary())], names=["key", "tag", "text"])
+    list(suffix_dedup._post(200)([batch]))  # tables of powers are made once
+    tracemalloc.start()
+    list(suffix_dedup._post(200)([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
