@@ -275,3 +275,34 @@ def test_peaks_are_shuffled_as_packed_windows(spark, monkeypatch):
         assert made.collect() and {r.name: r.peak for r in models.own_peaks(rows, "name", models.totals(rows, "source", 6), low, high).collect()} == pytest.approx(want)
     assert "windows" in made._jdf.queryExecution().optimizedPlan().toString()
     assert models.own_peaks(rows.filter("t is null"), "name").count() == 0
+
+
+def test_scan_sweeps_within_tasks_or_by_joins(spark, monkeypatch):
+    """Candidates found in tasks give the findings of the joins, and only findings are shuffled; more items than an index holds are joined."""
+    from stemmata.operators import nominate, scan
+
+    draw = random.Random(21)
+    words = [f"w{k}" for k in range(90)] + ["x", "é", "\U0001d49c\U0001d49c"]
+    items = [(k, [draw.choice(words[: 30 + k]) for _ in range(draw.randint(1, 25))]) for k in range(60)] + [(70, []), (71, None)]
+    said = []
+    for k in range(150):
+        text = [draw.choice([*words, f"own{draw.randint(0, 50)}"]) for _ in range(draw.choice([0, 3, 12, 13, 30, 200]))]
+        for _ in range(k % 4):
+            quoted = [w for w in draw.choice(items[:60])[1] if draw.random() < 0.9]
+            at = draw.randint(0, len(text))
+            text[at:at] = quoted
+        said.append((k, text))
+    docs, held = spark.createDataFrame([*said, (500, None), (None, said[1][1])], "doc_id long, t array<string>"), spark.createDataFrame(items, "item_id long, t array<string>")
+    monkeypatch.setattr(nominate, "_WORDS", 700)
+    monkeypatch.setattr(nominate, "_SPAN", 60)
+    for min_run, common in ((3, 0.3), (2, 0.2), (5, 0.1)):
+        made = scan.scan(docs, held, min_run, common)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange") == 1
+        with monkeypatch.context() as patched:
+            patched.setattr(nominate, "ITEMS", 59)
+            joined = scan.scan(docs, held, min_run, common)
+            assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+            want = sorted(map(repr, joined.collect()))
+        assert sorted(map(repr, made.collect())) == want and len(want) > 50
+    assert scan.scan(docs, held.filter("item_id > 69")).count() == 0
