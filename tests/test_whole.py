@@ -306,3 +306,22 @@ def test_scan_sweeps_within_tasks_or_by_joins(spark, monkeypatch):
             want = sorted(map(repr, joined.collect()))
         assert sorted(map(repr, made.collect())) == want and len(want) > 50
     assert scan.scan(docs, held.filter("item_id > 69")).count() == 0
+
+
+def test_cosines_are_multiplied_in_blocks(spark, monkeypatch):
+    """Blocks of vectors that meet in tasks give the cosines of all pairs; products are not shuffled."""
+    from stemmata.operators import models
+
+    draw = random.Random(30)
+    vectors = {f"w{k}é" if k % 3 else f"\U0001d49c{k}": {f"d{draw.randint(0, 60)}": draw.choice([-1.5, 0.5, 2.0, 3.25]) for _ in range(draw.randint(1, 6))} for k in range(90)}
+    for low in (-2, 0):
+        held = {x: {d: w for d, w in v.items() if w > low} for x, v in vectors.items()}
+        rows = spark.createDataFrame([(x, d, w) for x, v in held.items() for d, w in v.items()] + [(None, "d1", 1.0)], "a string, b string, weight double")
+        norm = {x: math.sqrt(sum(w * w for w in v.values())) for x, v in held.items()}
+        want = {(x, y): pytest.approx(sum(held[x][d] * held[y][d] for d in both) / (norm[x] * norm[y]), abs=1e-4) for x in held for y in held if x < y and (both := held[x].keys() & held[y].keys())}
+        monkeypatch.setattr(models, "_CELLS", 100)
+        made = models.shared_cosines(rows)
+        got = made.collect()
+        assert {(r.x, r.y): r.cosine for r in got} == want and len(got) == len(want) > 300
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Aggregate" not in plan
